@@ -453,3 +453,135 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# -------------------------------------------------- ingest and cleaning ----
+# Raw signed envelopes are derived from the same events (sources.fixture);
+# the oracle recomputes every admission decision from the table columns.
+
+from crashlens.functions.text import TRIM_CLASS, sanitize  # noqa: E402
+from crashlens.operators import admit, hourly_rollup, split  # noqa: E402
+from crashlens.sources.fixture import FIXTURE_SECRET, raw_envelopes  # noqa: E402
+from crashlens.sources.reports import replay_fallback  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+BURST_LIMIT = 2  # per client and minute; the fixture peaks at 7
+
+_ADMIT_CTE = f"""
+env AS (
+  SELECT *, row_number() OVER (PARTITION BY client_ip, date_trunc('minute', created_at)
+                               ORDER BY created_at, CAST(id AS VARCHAR)) AS rk,
+         date_trunc('milliseconds', crash_timestamp) AS crash_ms,
+         date_trunc('milliseconds', created_at) AS now_ms
+  FROM crash_reports),
+decided AS (
+  SELECT *,
+    CASE WHEN rk > {BURST_LIMIT} THEN 429
+         WHEN crash_ms > now_ms OR now_ms - crash_ms > INTERVAL 24 HOUR THEN 400
+         ELSE 200 END AS status,
+    CASE WHEN rk > {BURST_LIMIT} THEN 'rate_limited'
+         WHEN crash_ms > now_ms OR now_ms - crash_ms > INTERVAL 24 HOUR THEN 'invalid_crash_data'
+         ELSE 'accepted' END AS reason
+  FROM env)"""
+
+
+def _admitted(spark, d):
+    raw = raw_envelopes(spark, d)
+    return admit(raw, secret=FIXTURE_SECRET, limit_per_minute=BURST_LIMIT)
+
+
+@register("ingest_status", q(ctes=_ADMIT_CTE, body=
+    "SELECT status, reason, COUNT(*) AS n FROM decided GROUP BY status, reason"))
+def _ingest_status(spark, d):
+    """G1-G4, V1-V12, C1-C6 over signed envelopes: rows per outcome."""
+    return (_admitted(spark, d).groupBy("status", "reason")
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("status", "reason"))
+
+
+@register("ingest_accepted", q(ctes=_ADMIT_CTE, body=f"""
+SELECT CAST(id AS VARCHAR) AS id, app_name, app_version, crash_ms AS crash_timestamp, platform,
+       error_message, stack_trace, user_id, session_id, created_at, ip_hash,
+       {CORES} AS cpu_cores, {MEM} AS memory_total, {GPU} AS gpu_name
+FROM decided WHERE status = 200"""))
+def _ingest_accepted(spark, d):
+    """Accepted, sanitised rows as they would be stored (S5 input)."""
+    acc, _ = split(_admitted(spark, d))
+    return acc.select(
+        "id", "app_name", "app_version",
+        F.col("crash_timestamp").cast("timestamp_ntz").alias("crash_timestamp"),
+        "platform", "error_message", "stack_trace", "user_id", "session_id",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"), "ip_hash",
+        F.col("hw.cpu.cores").try_cast("int").alias("cpu_cores"),
+        F.col("hw.memory.total").try_cast("bigint").alias("memory_total"),
+        F.col("hw.gpu.name").alias("gpu_name"))
+
+
+@register("ingest_quarantine", q(ctes=_ADMIT_CTE, body=
+    "SELECT CAST(id AS VARCHAR) AS request_id, client_ip, status, reason FROM decided WHERE status <> 200"))
+def _ingest_quarantine(spark, d):
+    """Refused envelopes with their status (quarantine table)."""
+    _, quarantine = split(_admitted(spark, d))
+    return quarantine.select("request_id", "client_ip", "status", "reason")
+
+
+def _sql_sanitize(col: str) -> str:
+    cls = TRIM_CLASS
+    return (f"substring(regexp_replace(regexp_replace(regexp_replace({col}, "
+            f"'[\\x00-\\x1F\\x7F]', '', 'g'), '[<>]', '', 'g'), "
+            f"'^{cls}+|{cls}+\\z', '', 'g'), 1, 10000)")
+
+
+@register("sanitize_documents", "SELECT doc_id, length(c) AS clean_chars, md5(c) AS clean_md5 "
+          f"FROM (SELECT doc_id, {_sql_sanitize('text')} AS c FROM documents)")
+def _sanitize_documents(spark, d):
+    """Z1-Z4 over every document text (whole texts, real dirty input)."""
+    docs = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet")
+    c = sanitize(F.col("text"))
+    return docs.select("doc_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
+
+
+@register("sanitize_pages", "SELECT page_id, length(c) AS clean_chars, md5(c) AS clean_md5 "
+          f"FROM (SELECT page_id, {_sql_sanitize('html')} AS c FROM pages)")
+def _sanitize_pages(spark, d):
+    """Z1-Z4 over every raw web page."""
+    pages = spark.read.parquet(f"{d.rstrip('/')}/pages.parquet")
+    c = sanitize(F.col("html"))
+    return pages.select("page_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
+
+
+@register("crash_analytics_rollup", q("SELECT * FROM crash_analytics", rollup=True))
+def _rollup(spark, d):
+    """S3: the full hourly rollup."""
+    return hourly_rollup(_t(spark, d))
+
+
+_REPLAY_CTE = """
+fb AS (
+  SELECT id, app_name, app_version, crash_timestamp, error_message, stack_trace,
+         created_at + INTERVAL 6 HOUR AS arrived,
+         date_trunc('milliseconds', crash_timestamp) AS crash_ms,
+         date_trunc('milliseconds', created_at + INTERVAL 6 HOUR) AS now_ms
+  FROM crash_reports)"""
+
+
+@register("replay_fallback", q(ctes=_REPLAY_CTE, body="""
+SELECT CASE WHEN crash_ms > now_ms OR now_ms - crash_ms > INTERVAL 48 HOUR THEN 400 ELSE 200 END AS status,
+       COUNT(*) AS n
+FROM fb GROUP BY 1"""))
+def _replay(spark, d):
+    """Locally stored fallback records (no platform, hardware or
+    signature) replayed six hours late with a 48-hour age bound."""
+    rows = _t(spark, d)
+    fallback = rows.select(
+        F.col("id").alias("request_id"),
+        F.concat(F.date_format("crash_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                 F.lit("Z")).alias("timestamp"),
+        F.col("error_message").alias("error"), F.col("stack_trace").alias("stack"),
+        "app_name", "app_version",
+        F.to_timestamp(F.concat(F.date_format(
+            F.col("created_at") + F.expr("INTERVAL 6 HOURS"),
+            "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("arrived_at"))
+    raw = replay_fallback(fallback, platform="linux")
+    adm = admit(raw, secret=None, check_signature=False, limit_per_minute=None,
+                max_age_hours=48)
+    return adm.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -26,7 +26,7 @@ def sanitize(col: Column, max_len: int = SANITIZED_MAX) -> Column:
     """
     out = F.regexp_replace(col, CONTROL_CHARS, "")
     out = F.regexp_replace(out, ANGLE_BRACKETS, "")
-    out = F.regexp_replace(out, f"^{TRIM_CLASS}+|{TRIM_CLASS}+$", "")
+    out = F.regexp_replace(out, f"^{TRIM_CLASS}+|{TRIM_CLASS}+\\z", "")
     return F.substring(out, 1, max_len)
 
 

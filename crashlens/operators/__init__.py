@@ -1,5 +1,15 @@
 """Row operators: admission guards, validators, sanitiser, rollup."""
 
+from crashlens.operators.guards import payload_ok, rate_limit, signature_valid
+from crashlens.operators.ingest import admit, split, write_batch
 from crashlens.operators.rollup import hour_window, hourly_rollup
+from crashlens.operators.sanitize import sanitize_reports
+from crashlens.operators.validate import (
+    check_table, parse_body, rule_violations, table_ok, validate_reports,
+)
 
-__all__ = ["hour_window", "hourly_rollup"]
+__all__ = [
+    "payload_ok", "rate_limit", "signature_valid", "admit", "split", "write_batch",
+    "hour_window", "hourly_rollup", "sanitize_reports", "check_table", "parse_body",
+    "rule_violations", "table_ok", "validate_reports",
+]

@@ -36,6 +36,29 @@ READ_DAYS_DEFAULT = 30
 UNKNOWN = "unknown"
 GPU_FALLBACK = "Integrated/Unknown"
 GPU_FALLBACK_SHORT = "Integrated"
+# validation messages, in rule order V1..V12 (one message per rule;
+# V8-V10 exclude each other, checked in that order)
+RULE_MESSAGES = {
+    "V1": "app_name is required and must be a string",
+    "V2": "app_version is required and must be a string",
+    "V3": "platform is required and must be a string",
+    "V4": "crash_timestamp is required",
+    "V5": "app_name must be 1-100 characters",
+    "V6": "app_version must follow semantic versioning (v1.2.3)",
+    "V7": "platform must be one of: windows, linux, macos, android, ios",
+    "V8": "crash_timestamp must be a valid ISO date",
+    "V9": "crash_timestamp cannot be in the future",
+    "V10": "crash_timestamp must be within the last 24 hours",
+    "V11": "error_message must be a string under 5000 characters",
+    "V12": "stack_trace must be a string under 20000 characters",
+}
+# HTTP-style status of each admission stage, in the order the stages run
+STATUS_RATE_LIMITED = 429
+STATUS_TOO_LARGE = 413
+STATUS_BAD_SIGNATURE = 401
+STATUS_BAD_REQUEST = 400
+STATUS_INSERT_FAILED = 500
+STATUS_ACCEPTED = 200
 # memory tier edges in bytes and their labels, one list per report
 MEMORY_TIERS_4 = ([4_000_000_000, 8_000_000_000, 16_000_000_000],
                   ["Low (< 4GB)", "Medium (4-8GB)", "High (8-16GB)", "Very High (16GB+)"])
