@@ -459,9 +459,9 @@ def oracle_sql() -> dict[str, str]:
 # Raw signed envelopes are derived from the same events (sources.fixture);
 # the oracle recomputes every admission decision from the table columns.
 
-from crashlens.functions.text import TRIM_CLASS, sanitize  # noqa: E402
+from crashlens.functions.text import REMOVED_CHARS, TRIM_CHARS, sanitize  # noqa: E402
 from crashlens.operators import admit, hourly_rollup, split  # noqa: E402
-from crashlens.sources.fixture import FIXTURE_SECRET, raw_envelopes  # noqa: E402
+from crashlens.sources.fixture import FIXTURE_SECRET, raw_envelopes, read_table  # noqa: E402
 from crashlens.sources.reports import replay_fallback  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -525,17 +525,16 @@ def _ingest_quarantine(spark, d):
 
 
 def _sql_sanitize(col: str) -> str:
-    cls = TRIM_CLASS
-    return (f"substring(regexp_replace(regexp_replace(regexp_replace({col}, "
-            f"'[\\x00-\\x1F\\x7F]', '', 'g'), '[<>]', '', 'g'), "
-            f"'^{cls}+|{cls}+\\z', '', 'g'), 1, 10000)")
+    removed = REMOVED_CHARS.replace("\\\\", "\\")
+    return (f"substring(trim(regexp_replace({col}, '{removed}', '', 'g'), "
+            f"'{TRIM_CHARS}'), 1, 10000)")
 
 
 @register("sanitize_documents", "SELECT doc_id, length(c) AS clean_chars, md5(c) AS clean_md5 "
           f"FROM (SELECT doc_id, {_sql_sanitize('text')} AS c FROM documents)")
 def _sanitize_documents(spark, d):
     """Z1-Z4 over every document text (whole texts, real dirty input)."""
-    docs = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet")
+    docs = read_table(spark, d, "documents")
     c = sanitize(F.col("text"))
     return docs.select("doc_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
 
@@ -544,7 +543,7 @@ def _sanitize_documents(spark, d):
           f"FROM (SELECT page_id, {_sql_sanitize('html')} AS c FROM pages)")
 def _sanitize_pages(spark, d):
     """Z1-Z4 over every raw web page."""
-    pages = spark.read.parquet(f"{d.rstrip('/')}/pages.parquet")
+    pages = read_table(spark, d, "pages")
     c = sanitize(F.col("html"))
     return pages.select("page_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
 

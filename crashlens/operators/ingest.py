@@ -46,29 +46,39 @@ def admit(raw: DataFrame, *, secret: str | None, as_of=None,
         df = (df.withColumn("rate_limited", F.lit(False))
                 .withColumn("retry_after", F.lit(None).cast("int")))
     df = validate_reports(df, as_of=as_of, max_age_hours=max_age_hours)
-    df = df.select(*RAW_COLUMNS, "rate_limited", "retry_after", "json_ok", "errors",
-                   *sanitized_columns(salt))
-    df = df.withColumn("table_ok", table_ok(policy=policy, as_of=as_of))
     sig_ok = (signature_valid(F.col("body"), F.col("signature"), secret)
               if check_signature else F.lit(True))
-    stage = (F.when(F.col("rate_limited"), F.struct(F.lit(STATUS_RATE_LIMITED), F.lit("rate_limited")))
-              .when(~payload_ok(F.col("body"), max_payload),
-                    F.struct(F.lit(STATUS_TOO_LARGE), F.lit("payload_too_large")))
-              .when(~sig_ok, F.struct(F.lit(STATUS_BAD_SIGNATURE), F.lit("invalid_signature")))
-              .when(~F.col("json_ok"), F.struct(F.lit(STATUS_BAD_REQUEST), F.lit("invalid_json")))
-              .when(F.size("errors") > 0,
-                    F.struct(F.lit(STATUS_BAD_REQUEST), F.lit("invalid_crash_data")))
-              .when(~F.col("table_ok"),
-                    F.struct(F.lit(STATUS_INSERT_FAILED), F.lit("insert_rejected")))
-              .otherwise(F.struct(F.lit(STATUS_ACCEPTED), F.lit("accepted"))))
-    df = df.withColumn("_stage", stage)
-    status, reason = F.col("_stage.col1"), F.col("_stage.col2")
+    refused = [
+        (F.col("rate_limited"), STATUS_RATE_LIMITED, "rate_limited"),
+        (~payload_ok(F.col("body"), max_payload), STATUS_TOO_LARGE, "payload_too_large"),
+        (~sig_ok, STATUS_BAD_SIGNATURE, "invalid_signature"),
+        (~F.col("json_ok"), STATUS_BAD_REQUEST, "invalid_json"),
+        (F.size("errors") > 0, STATUS_BAD_REQUEST, "invalid_crash_data"),
+    ]
+    decision = None
+    for cond, code, why in refused:
+        out = F.struct(F.lit(code).alias("status"), F.lit(why).alias("reason"))
+        decision = F.when(cond, out) if decision is None else decision.when(cond, out)
+    decision = decision.otherwise(F.struct(F.lit(STATUS_ACCEPTED).alias("status"),
+                                           F.lit("accepted").alias("reason")))
+    # The decision is emitted by a one-row generator: a later filter on
+    # ``status`` stops at the Generate instead of being pushed into (and
+    # re-evaluating) the parse and rule expressions for every reference.
+    df = df.select(*RAW_COLUMNS, "retry_after", "errors",
+                   *[c for c in df.columns if c.startswith("in_")],
+                   F.inline(F.array(decision)))
     # later stages never ran for a refused request: their findings are cleared
-    errors = F.when(reason == "invalid_crash_data", F.col("errors")) \
-              .otherwise(F.array().cast("array<string>"))
-    return (df.withColumn("status", status).withColumn("reason", reason)
-              .withColumn("errors", errors)
-              .drop("_stage", "rate_limited", "json_ok", "table_ok"))
+    df = df.withColumn("errors", F.when(F.col("reason") == "invalid_crash_data",
+                                        F.col("errors")).otherwise(
+                                            F.array().cast("array<string>")))
+    df = df.select(*RAW_COLUMNS, "status", "reason", "errors", "retry_after",
+                   *sanitized_columns(salt))
+    # C1-C6 (and C7/C8): a row the table refuses is an insert failure (500)
+    insert_failed = (F.col("status") == STATUS_ACCEPTED) & ~table_ok(policy=policy, as_of=as_of)
+    return (df.withColumn("reason", F.when(insert_failed, F.lit("insert_rejected"))
+                                     .otherwise(F.col("reason")))
+              .withColumn("status", F.when(insert_failed, F.lit(STATUS_INSERT_FAILED))
+                                     .otherwise(F.col("status"))))
 
 
 def split(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,8 +87,28 @@ def derive_crash_reports(events: DataFrame) -> DataFrame:
     ).withColumn("ip_hash", ip_hash(F.col("client_ip")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-split source over the cluster's cores.
+
+    A file written as one large row group scans as a single task, and every
+    per-row expression after it (JSON parsing, regexes, hashing) runs on one
+    core.  Only when the scan has fewer splits than
+    ``spark.default.parallelism`` is a repartition added; a large input
+    already has many splits and is left alone (no extra shuffle at scale).
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's parquet tables, spread if under-split."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return read_table(spark, sf_dir, "events")
 
 
 def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
