@@ -584,3 +584,55 @@ def _replay(spark, d):
     adm = admit(raw, secret=None, check_signature=False, limit_per_minute=None,
                 max_age_hours=48)
     return adm.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------------- streaming ----
+# The envelopes land as files in a fresh folder under the session's shared
+# checkpoint dir, a Structured Streaming run (availableNow) admits and rolls
+# them up, and the query returns what the stream wrote; the oracle is the
+# batch SQL, so these keys check batch = stream.
+
+import uuid  # noqa: E402
+
+from crashlens.session import checkpoint_dir  # noqa: E402
+from crashlens.streaming import (  # noqa: E402
+    hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
+    start_ingest, start_rollup,
+)
+
+
+def _stream_run(spark, d):
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    raw_envelopes(spark, d).write.parquet(f"{root}/landing")
+    q1 = start_ingest(read_report_stream(spark, f"{root}/landing"), f"{root}/tables",
+                      f"{root}/ck-ingest", secret=FIXTURE_SECRET, limit_per_minute=BURST_LIMIT)
+    q1.awaitTermination()
+    accepted, quarantine = read_ingested(spark, f"{root}/tables")
+    return root, accepted, quarantine
+
+
+@register("stream_ingest_status", q(ctes=_ADMIT_CTE, body=
+    "SELECT status, reason, COUNT(*) AS n FROM decided GROUP BY status, reason"))
+def _stream_ingest_status(spark, d):
+    """X1-X3 + X6: streaming admission with the stateful limiter."""
+    _, accepted, quarantine = _stream_run(spark, d)
+    counts = quarantine.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
+    ok = accepted.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(200).alias("status"), F.lit("accepted").alias("reason"), "n")
+    return counts.unionByName(ok).where(F.col("n") > 0)
+
+
+@register("stream_hourly_rollup", q(ctes=_ADMIT_CTE, body="""
+SELECT app_name, app_version, platform, date_trunc('hour', created_at) AS hour,
+       COUNT(*) AS crash_count, COUNT(*) AS unique_users
+FROM decided WHERE status = 200 GROUP BY 1, 2, 3, 4"""))
+def _stream_hourly_rollup(spark, d):
+    """Tumbling hourly rollup of the accepted stream (update mode)."""
+    root, _, _ = _stream_run(spark, d)
+    acc = spark.read.parquet(f"{root}/tables/crash_reports")
+    stream = spark.readStream.schema(acc.schema).parquet(f"{root}/tables/crash_reports")
+    q2 = start_rollup(hourly_rollup_stream(stream, sketch=False), f"{root}/rollup",
+                      f"{root}/ck-rollup")
+    q2.awaitTermination()
+    return (read_rollup(spark, f"{root}/rollup")
+            .withColumn("hour", F.col("hour").cast("timestamp_ntz")))

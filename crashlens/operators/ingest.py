@@ -31,16 +31,20 @@ def admit(raw: DataFrame, *, secret: str | None, as_of=None,
           limit_per_minute: int | None = RATE_LIMIT_PER_MINUTE,
           max_payload: int = MAX_PAYLOAD_CHARS, check_signature: bool = True,
           max_age_hours: float = MAX_AGE_HOURS, policy: bool = False,
-          salt: str = IP_SALT) -> DataFrame:
+          salt: str = IP_SALT, precomputed_limit: bool = False) -> DataFrame:
     """Every input row with ``status``, ``reason``, ``errors``,
     ``retry_after`` and the sanitised report columns (meaningful for status 200).
 
     ``as_of=None`` judges recency against each row's ``arrived_at``.
     ``limit_per_minute=None`` disables the rate limit (replays);
     ``check_signature=False`` skips G3 (fallback replays carry none).
+    ``precomputed_limit=True`` takes ``rate_limited`` / ``retry_after`` from
+    the input (the streaming limiter computes them with state).
     """
     df = raw
-    if limit_per_minute is not None:
+    if precomputed_limit:
+        pass
+    elif limit_per_minute is not None:
         df = rate_limit(df, limit=limit_per_minute)
     else:
         df = (df.withColumn("rate_limited", F.lit(False))

@@ -1,0 +1,15 @@
+"""Structured Streaming twins of the batch operators."""
+
+from crashlens.streaming.ingest import (
+    admit_stream, dedup_stream, read_ingested, read_report_stream, start_ingest,
+)
+from crashlens.streaming.limiter import rate_limit_stream
+from crashlens.streaming.rollup import (
+    hourly_rollup_stream, read_rollup, spike_alerts, start_rollup,
+)
+
+__all__ = [
+    "admit_stream", "dedup_stream", "read_ingested", "read_report_stream",
+    "start_ingest", "rate_limit_stream", "hourly_rollup_stream", "read_rollup",
+    "spike_alerts", "start_rollup",
+]
