@@ -49,7 +49,8 @@ def parse_body(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def _is_str(f: str) -> Column:
-    return _t(f) == "STRING"
+    """Field present and a JSON string (never NULL: a missing field is False)."""
+    return F.coalesce(_t(f) == "STRING", F.lit(False))
 
 
 def truthy(f: str) -> Column:

@@ -104,12 +104,16 @@ def replay_fallback(fallback: DataFrame, platform: str | None = None,
     Fallback rows carry ``timestamp, error, stack, app_name, app_version``
     (and optionally ``client_ip``, ``arrived_at``, ``platform``).  They have
     no signature and no hardware; the admission run for replays skips the
-    signature guard and takes a ``max_age`` fit for late data.  Without a
+    signature guard and takes a ``max_age`` fit for late data.  The platform
+    goes through the clients' alias map (``darwin`` -> ``macos``).  Without a
     ``platform`` (column or parameter) rows fail rule V3 and are
     quarantined, as they would be if posted.
     """
+    from crashlens.functions.text import normalize_platform
+
     cols = set(fallback.columns)
     plat = F.col("platform") if "platform" in cols else F.lit(platform).cast("string")
+    plat = normalize_platform(plat)  # Z11: clients send OS ids through this map
     body = F.to_json(F.struct(
         F.col("app_name"), F.col("app_version"), plat.alias("platform"),
         F.col("timestamp").alias("crash_timestamp"),
