@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashlens.functions.numeric import round_ratio
@@ -30,9 +30,13 @@ def spikes(source: DataFrame, *, as_of, k: float = 2.0, baseline_days: float = 7
     from sums and sums of squares (no row per empty hour is generated).
 
     Output ``app_name, recent_crashes, avg_crashes, z_score`` with the mean
-    rounded to 6 and the z-score to 2 decimals.  Both sides come from one
-    rollup scan; the baseline has one row per app, so AQE broadcasts it when
-    its measured size is small and falls back to a sort-merge join if not.
+    rounded to 6 and the z-score to 2 decimals.
+
+    Plan: the rollup for the window is built once (one scan, one shuffle on
+    the cell key); the per-app baseline is a window over the cells of each
+    app (conditional aggregates, no join), and only then are the cells of
+    the tested hour kept.  An app's cells are bounded by versions x
+    platforms x hours in the window, whatever the raw row count.
     """
     now = as_timestamp(as_of)
     recent_hour = _trunc_hour(now - HOUR)
@@ -42,37 +46,33 @@ def spikes(source: DataFrame, *, as_of, k: float = 2.0, baseline_days: float = 7
     if zero_fill:
         cells = (cells.groupBy("app_name", "hour")
                       .agg(F.sum("crash_count").cast("bigint").alias("crash_count")))
-    base = cells.where(F.col("hour") < ts_literal(upper, htype))
-    recent = (cells.where(F.col("hour") == ts_literal(recent_hour, htype))
-                   .select("app_name", F.col("crash_count").alias("recent_crashes")))
+    in_base = F.col("hour") < ts_literal(upper, htype)
+    x = F.when(in_base, F.col("crash_count"))
+    app = Window.partitionBy("app_name")
     if zero_fill:
         start = now - dt.timedelta(days=baseline_days)
-        first = _trunc_hour(start) + HOUR
-        n_hours = 0
-        h = first
+        n_hours, h = 0, _trunc_hour(start) + HOUR
         while h < upper:
             n_hours += 1
             h += HOUR
-        n = F.lit(n_hours).cast("bigint")
-        normal = (base.groupBy("app_name")
-                      .agg(F.sum("crash_count").alias("_s"),
-                           F.sum(F.col("crash_count") * F.col("crash_count")).alias("_s2"))
-                      .withColumn("_c", n)
-                      .withColumn("_mean", F.col("_s") / F.col("_c"))
-                      .withColumn("_sd", F.when(F.col("_c") > 1, F.sqrt(
-                          (F.col("_s2") - F.col("_c") * F.col("_mean") * F.col("_mean"))
-                          / (F.col("_c") - 1)))))
+        c = F.lit(n_hours).cast("bigint")
+        cells = cells.select("*", F.sum(x).over(app).alias("_s"),
+                             F.sum(x * x).over(app).alias("_s2"))
+        mean = F.col("_s") / c
+        sd = F.when(c > 1, F.sqrt((F.col("_s2") - c * mean * mean) / (c - 1)))
+        cells = cells.select("*", c.alias("_c"), mean.alias("_mean"), sd.alias("_sd"))
     else:
-        normal = (base.groupBy("app_name")
-                      .agg(F.sum("crash_count").alias("_s"),
-                           F.count(F.lit(1)).alias("_c"),
-                           F.avg("crash_count").alias("_mean"),
-                           F.stddev_samp("crash_count").alias("_sd")))
-    joined = recent.join(normal, "app_name")
-    z = F.round((F.col("recent_crashes") - F.col("_mean"))
+        # one window pass: all four aggregates share the per-app spec
+        cells = cells.select("*", F.sum(x).over(app).alias("_s"),
+                             F.count(x).over(app).alias("_c"),
+                             F.avg(x).over(app).alias("_mean"),
+                             F.stddev_samp(x).over(app).alias("_sd"))
+    recent = cells.where((F.col("hour") == ts_literal(recent_hour, htype))
+                         & (F.col("_c") > 0))
+    z = F.round((F.col("crash_count") - F.col("_mean"))
                 / F.nullif(F.col("_sd"), F.lit(0.0)), 2)
-    return (joined.where(F.col("recent_crashes") > F.col("_mean") + F.lit(k) * F.col("_sd"))
-                  .select("app_name", "recent_crashes",
+    return (recent.where(F.col("crash_count") > F.col("_mean") + F.lit(k) * F.col("_sd"))
+                  .select("app_name", F.col("crash_count").alias("recent_crashes"),
                           round_ratio(F.col("_s"), F.col("_c"), 6).alias("avg_crashes"),
                           z.alias("z_score"))
                   .orderBy(F.desc_nulls_first("z_score"), "app_name", "recent_crashes"))

@@ -24,6 +24,8 @@ LAST_DAY = "2024-01-30 00:00:00"
 BURST_AT = "2024-01-30 22:00:00"
 # Shared secret the fixture's raw envelopes are signed with.
 FIXTURE_SECRET = "fixture-hmac-secret"
+# Whether the analytics' fixture table spreads an under-split events file.
+SPREAD_ANALYTICS = True
 
 
 def _s(c: Column) -> Column:
@@ -107,15 +109,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events")
+def read_events(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    if spread_rows:
+        return read_table(spark, sf_dir, "events")
+    return spark.read.parquet(path)
 
 
 def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table as the analytics see it: stored columns, the
     ``created_date`` partition key and the parsed ``hw`` struct."""
     prepare(spark)
-    df = derive_crash_reports(read_events(spark, sf_dir))
+    df = derive_crash_reports(read_events(spark, sf_dir, spread_rows=SPREAD_ANALYTICS))
     df = df.select(*REPORT_COLUMNS).withColumn(
         "created_date", F.to_date("created_at"))
     return with_hardware(df)
