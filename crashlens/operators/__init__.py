@@ -1,7 +1,9 @@
 """Row operators: admission guards, validators, sanitiser, rollup."""
 
 from crashlens.operators.guards import payload_ok, rate_limit, signature_valid
-from crashlens.operators.ingest import admit, split, write_batch
+from crashlens.operators.ingest import (
+    admit, ingest_batch, split, write_admitted, write_batch,
+)
 from crashlens.operators.rollup import hour_window, hourly_rollup
 from crashlens.operators.sanitize import sanitize_reports
 from crashlens.operators.validate import (
@@ -9,7 +11,7 @@ from crashlens.operators.validate import (
 )
 
 __all__ = [
-    "payload_ok", "rate_limit", "signature_valid", "admit", "split", "write_batch",
+    "payload_ok", "rate_limit", "signature_valid", "admit", "split", "write_batch", "write_admitted", "ingest_batch",
     "hour_window", "hourly_rollup", "sanitize_reports", "check_table", "parse_body",
     "rule_violations", "table_ok", "validate_reports",
 ]

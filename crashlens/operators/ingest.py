@@ -113,3 +113,26 @@ def write_batch(accepted: DataFrame, quarantine: DataFrame, root: str,
     (quarantine.withColumn("batch_id", bid)
                .write.mode("overwrite").partitionBy("batch_id")
                .parquet(f"{root.rstrip('/')}/quarantine"))
+
+
+def write_admitted(admitted: DataFrame, root: str, batch_id: int | str) -> None:
+    """Split an admitted batch and write both sides, computing it once.
+
+    The batch is persisted (memory and disk) for the two writes and released
+    afterwards; a lost block is recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+
+    admitted = admitted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        accepted, quarantine = split(admitted)
+        write_batch(accepted, quarantine, root, batch_id)
+    finally:
+        admitted.unpersist()
+
+
+def ingest_batch(raw: DataFrame, root: str, batch_id: int | str, *,
+                 secret: str | None, **kw) -> None:
+    """Batch ingestion of one landing folder: admit, then write accepted and
+    quarantine rows idempotently under ``root`` for ``batch_id``."""
+    write_admitted(admit(raw, secret=secret, **kw), root, batch_id)

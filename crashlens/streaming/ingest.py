@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlens.operators.ingest import admit, split, write_batch
+from crashlens.operators.ingest import admit, write_admitted
 from crashlens.schema import RAW_SCHEMA, RATE_LIMIT_PER_MINUTE
 from crashlens.session import prepare
 from crashlens.streaming.limiter import rate_limit_stream
@@ -47,8 +47,7 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
     admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, **kw)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        accepted, quarantine = split(batch)
-        write_batch(accepted, quarantine, root, batch_id)
+        write_admitted(batch, root, batch_id)
 
     writer = admitted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

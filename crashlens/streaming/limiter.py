@@ -14,7 +14,10 @@ with an event-time timeout (the original service's map never evicts).
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -80,6 +83,11 @@ def make_limiter(limit: int):
     return handle
 
 
+# The state handler is shipped by value, so Python workers need not have
+# this package installed (executors only get the pickled function).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def rate_limit_stream(stream: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
                       watermark: str = "1 minute") -> DataFrame:
     """Streaming twin of ``operators.rate_limit`` (append mode)."""
