@@ -44,3 +44,30 @@ def hour_window(rollup: DataFrame, as_of, *, hours: float = 0,
     """Rows of an existing rollup with ``hour > as_of - window``."""
     since = as_timestamp(as_of) - dt.timedelta(days=days, hours=hours)
     return rollup.where(F.col("hour") > ts_literal(since, rollup.schema["hour"].dataType))
+
+
+def refresh_rollup(reports: DataFrame, path: str, dates=None) -> None:
+    """Materialise the rollup, partitioned by ``hour_date``.
+
+    With ``dates`` (arrival dates that received new reports) only those
+    partitions are recomputed from the fact table (partition-pruned scan)
+    and overwritten (dynamic partition overwrite); without, everything is.
+    An hour never spans two dates, so a date's cells depend only on that
+    date's reports.
+    """
+    src = reports
+    if dates is not None:
+        dates = sorted({d if hasattr(d, "isoformat") else dt.date.fromisoformat(str(d))
+                        for d in dates})
+        day = (F.col("created_date") if "created_date" in reports.columns
+               else F.to_date("created_at"))
+        src = src.where(day.isin(*[F.lit(d) for d in dates]))
+    out = hourly_rollup(src).withColumn("hour_date", F.to_date("hour"))
+    spark = reports.sparkSession
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    out.repartition("hour_date").write.mode("overwrite").partitionBy("hour_date").parquet(path)
+
+
+def read_rollup_table(spark, path: str) -> DataFrame:
+    """The materialised rollup (``hour_date`` prunes look-backs on ``hour``)."""
+    return spark.read.parquet(path)

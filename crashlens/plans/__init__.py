@@ -14,7 +14,8 @@ from crashlens.plans.hardware import (
     low_resource,
 )
 from crashlens.plans.reader import (
-    crash_stats, crashes_by_error, page_info, read_page, recent_crashes,
+    crash_stats, crashes_by_error, page_info, read_page, read_page_after,
+    recent_crashes,
 )
 from crashlens.plans.rollup_views import dashboard, platform_rates, top_apps
 
@@ -26,5 +27,5 @@ __all__ = [
     "by_cpu_model", "by_gpu", "by_memory_class", "by_memory_range", "by_os",
     "by_os_version", "hardware_combos", "hardware_daily", "high_end",
     "low_resource", "crash_stats", "crashes_by_error", "page_info",
-    "read_page", "recent_crashes", "dashboard", "platform_rates", "top_apps",
+    "read_page", "read_page_after", "recent_crashes", "dashboard", "platform_rates", "top_apps",
 ]

@@ -59,6 +59,25 @@ def read_page(df: DataFrame, *, app: str, as_of, version: str | None = None,
     return out.limit(limit)
 
 
+def read_page_after(df: DataFrame, *, app: str, as_of, after_created_at=None,
+                    after_id=None, version: str | None = None,
+                    days: int = READ_DAYS_DEFAULT,
+                    limit: int = READ_LIMIT_DEFAULT) -> DataFrame:
+    """Keyset page: the ``limit`` reports that follow ``(after_created_at,
+    after_id)`` in ``created_at desc, id`` order.  Unlike an offset, deep
+    pages cost the same as the first (the bound is a pushed-down filter)."""
+    _check_params(limit, 0, days)
+    src = _matching(df, app, version, as_of, days=days)
+    if after_created_at is not None:
+        t = ts_literal(after_created_at, src.schema["created_at"].dataType)
+        c = F.col("created_at")
+        cond = c < t
+        if after_id is not None:
+            cond = cond | ((c == t) & (F.col("id") > F.lit(after_id)))
+        src = src.where(cond)
+    return _rows(src).orderBy(F.desc("created_at"), "id").limit(limit)
+
+
 def page_info(df: DataFrame, *, app: str, as_of, version: str | None = None,
               days: int = READ_DAYS_DEFAULT, limit: int = READ_LIMIT_DEFAULT,
               offset: int = 0) -> dict:

@@ -58,3 +58,33 @@ def test_crash_stats_top_errors_bounded(reports):
     assert sum(1 for r in rows if r.dimension == "error") <= 3
     total = [r.n for r in rows if r.dimension == "total_crashes"][0]
     assert sum(r.n for r in rows if r.dimension == "platform") == total
+
+
+def test_keyset_page_matches_offset_page(reports):
+    first = P.read_page(reports, app="app-1", as_of=AS_OF, limit=7).collect()
+    last = first[-1]
+    nxt = P.read_page_after(reports, app="app-1", as_of=AS_OF, limit=7,
+                            after_created_at=last.created_at, after_id=last.id).collect()
+    by_offset = P.read_page(reports, app="app-1", as_of=AS_OF, limit=7, offset=7).collect()
+    assert [r.id for r in nxt] == [r.id for r in by_offset]
+
+
+def test_hardware_daily_approx_close(reports):
+    exact = {(r.crash_date, r.os): r.daily_users for r in
+             P.hardware_daily(reports, as_of=AS_OF).collect()}
+    approx = {(r.crash_date, r.os): r.daily_users for r in
+              P.hardware_daily(reports, as_of=AS_OF, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - v) <= max(1, 0.05 * v) for k, v in exact.items())
+
+
+def test_refresh_rollup_partitions(spark, reports, tmp_path):
+    from crashlens.operators import read_rollup_table, refresh_rollup
+    path = str(tmp_path / "rollup")
+    refresh_rollup(reports, path)
+    full = read_rollup_table(spark, path)
+    assert full.agg(F.sum("crash_count")).first()[0] == reports.count()
+    before = sorted(full.drop("hour_date").collect())
+    refresh_rollup(reports, path, dates=["2024-01-30"])
+    again = read_rollup_table(spark, path)
+    assert sorted(again.drop("hour_date").collect()) == before
