@@ -1,7 +1,8 @@
 """Sources and sinks: fixture derivation, JSON / Parquet reads, writes."""
 
 from crashlens.sources.fixture import (
-    AS_OF, FIXTURE_SECRET, crash_table, derive_crash_reports, raw_envelopes,
+    AS_OF, FIXTURE_SECRET, crash_table, derive_crash_reports, derived_crash_table,
+    raw_envelopes,
 )
 from crashlens.sources.reports import (
     append_reports, crash_reports, export, flatten_for_export, read_reports,
@@ -10,6 +11,7 @@ from crashlens.sources.reports import (
 
 __all__ = [
     "AS_OF", "FIXTURE_SECRET", "crash_table", "derive_crash_reports",
+    "derived_crash_table",
     "raw_envelopes", "append_reports", "crash_reports", "export",
     "flatten_for_export", "read_reports", "register_views", "replay_fallback",
 ]

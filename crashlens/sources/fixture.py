@@ -8,6 +8,10 @@ the last day).  The same rules, written as SQL, drive the DuckDB oracle.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +120,9 @@ def read_events(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> D
     return spark.read.parquet(path)
 
 
-def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table as the analytics see it: stored columns, the
-    ``created_date`` partition key and the parsed ``hw`` struct."""
+def derived_crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazy fact rows from ``events``: stored columns, the ``created_date``
+    partition key and the parsed ``hw`` struct (no files written)."""
     prepare(spark)
     df = derive_crash_reports(read_events(spark, sf_dir, spread_rows=SPREAD_ANALYTICS))
     df = df.select(*REPORT_COLUMNS).withColumn(
@@ -126,6 +130,64 @@ def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_hardware(df)
 
 
+# bump when the derivation or the stored layout changes
+FACT_LAYOUT_VERSION = "1"
+_FACT_PATHS: dict[tuple[str, str], str] = {}
+
+
+def _fingerprint(sf_dir: str) -> str:
+    src = os.path.join(os.path.abspath(sf_dir), "events.parquet")
+    try:
+        st = os.stat(src)
+        stamp = f"{st.st_size}:{int(st.st_mtime)}"
+    except OSError:
+        stamp = "remote"
+    key = f"{os.path.abspath(sf_dir)}|{stamp}|{FACT_LAYOUT_VERSION}"
+    return hashlib.sha1(key.encode()).hexdigest()[:16]
+
+
+def _hadoop_fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jpath.getFileSystem(conf), jpath, jvm
+
+
+def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table as the analytics see it, stored the way ingestion
+    stores it: Parquet partitioned by ``created_date`` with the parsed
+    ``hw`` struct next to the raw JSON.
+
+    The derivation from ``events`` is written once per source (a folder
+    under the session's shared ``spark.checkpoint.dir``, reused while the
+    source is unchanged) and then scanned, so every query plan is a real
+    scan: look-backs push ``created_at`` bounds into the reader and prune
+    ``created_date`` partitions, and only the nested ``hw`` leaves a query
+    uses are read.  A staging folder is renamed into place, so concurrent
+    writers never expose a partial table.
+    """
+    prepare(spark)
+    from crashlens.session import checkpoint_dir
+    from crashlens.sources.reports import crash_reports
+
+    fp = _fingerprint(sf_dir)
+    app = spark.sparkContext.applicationId
+    path = _FACT_PATHS.get((app, fp))
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/crashlens-facts/{fp}"
+        fs, target, jvm = _hadoop_fs(spark, path)
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            staging = f"{path}.staging-{uuid.uuid4().hex}"
+            rows = derived_crash_table(spark, sf_dir)
+            (rows.repartition("created_date").write.mode("overwrite")
+                 .partitionBy("created_date").parquet(staging))
+            fs.mkdirs(target.getParent())
+            if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+                fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+        _FACT_PATHS[(app, fp)] = path
+    return crash_reports(spark, path)
+
+
 def raw_envelopes(spark: SparkSession, sf_dir: str,
                   secret: str = FIXTURE_SECRET) -> DataFrame:
     """Signed POST envelopes that would have produced ``crash_table``.
