@@ -461,7 +461,9 @@ def oracle_sql() -> dict[str, str]:
 
 from crashlens.functions.text import REMOVED_CHARS, TRIM_CHARS, sanitize  # noqa: E402
 from crashlens.operators import admit, hourly_rollup, split  # noqa: E402
-from crashlens.sources.fixture import FIXTURE_SECRET, raw_envelopes, read_table  # noqa: E402
+from crashlens.sources.fixture import (  # noqa: E402
+    FIXTURE_SECRET, landing_zone, raw_envelopes, read_table,
+)
 from crashlens.sources.reports import replay_fallback  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -587,10 +589,11 @@ def _replay(spark, d):
 
 
 # ----------------------------------------------------------- streaming ----
-# The envelopes land as files in a fresh folder under the session's shared
-# checkpoint dir, a Structured Streaming run (availableNow) admits and rolls
-# them up, and the query returns what the stream wrote; the oracle is the
-# batch SQL, so these keys check batch = stream.
+# The envelopes' landing folder is the stream source; a Structured Streaming
+# run (availableNow, fresh checkpoint and output folders under the session's
+# shared checkpoint dir) admits and rolls them up, and the query returns what
+# the stream wrote; the oracle is the batch SQL, so these keys check
+# batch = stream.
 
 import uuid  # noqa: E402
 
@@ -603,8 +606,8 @@ from crashlens.streaming import (  # noqa: E402
 
 def _stream_run(spark, d):
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    raw_envelopes(spark, d).write.parquet(f"{root}/landing")
-    q1 = start_ingest(read_report_stream(spark, f"{root}/landing"), f"{root}/tables",
+    landing = landing_zone(spark, d)
+    q1 = start_ingest(read_report_stream(spark, landing), f"{root}/tables",
                       f"{root}/ck-ingest", secret=FIXTURE_SECRET, limit_per_minute=BURST_LIMIT)
     q1.awaitTermination()
     accepted, quarantine = read_ingested(spark, f"{root}/tables")

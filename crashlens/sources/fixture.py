@@ -132,7 +132,7 @@ def derived_crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # bump when the derivation or the stored layout changes
 FACT_LAYOUT_VERSION = "1"
-_FACT_PATHS: dict[tuple[str, str], str] = {}
+_FACT_PATHS: dict[tuple, str] = {}
 
 
 def _fingerprint(sf_dir: str) -> str:
@@ -153,44 +153,78 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(conf), jpath, jvm
 
 
+def materialized(spark: SparkSession, sf_dir: str, name: str, build,
+                 partition_by: str | None = None) -> str:
+    """Path of a table derived from the driver tables, written once.
+
+    The folder lives under the session's shared ``spark.checkpoint.dir``
+    and is keyed by the source files and the layout version, so it is
+    reused while the source is unchanged.  It is written to a staging
+    folder and renamed into place, so concurrent writers never expose a
+    partial table; a written table also cuts the lineage of what reads it.
+    """
+    from crashlens.session import checkpoint_dir
+
+    fp = _fingerprint(sf_dir)
+    app = spark.sparkContext.applicationId
+    path = _FACT_PATHS.get((app, name, fp))
+    if path is not None:
+        return path
+    path = f"{checkpoint_dir(spark).rstrip('/')}/crashlens-{name}/{fp}"
+    fs, target, jvm = _hadoop_fs(spark, path)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        staging = f"{path}.staging-{uuid.uuid4().hex}"
+        rows = build()
+        writer = (rows.repartition(partition_by) if partition_by else rows).write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(staging)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    _FACT_PATHS[(app, name, fp)] = path
+    return path
+
+
 def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table as the analytics see it, stored the way ingestion
     stores it: Parquet partitioned by ``created_date`` with the parsed
     ``hw`` struct next to the raw JSON.
 
-    The derivation from ``events`` is written once per source (a folder
-    under the session's shared ``spark.checkpoint.dir``, reused while the
-    source is unchanged) and then scanned, so every query plan is a real
-    scan: look-backs push ``created_at`` bounds into the reader and prune
-    ``created_date`` partitions, and only the nested ``hw`` leaves a query
-    uses are read.  A staging folder is renamed into place, so concurrent
-    writers never expose a partial table.
+    The derivation from ``events`` is written once (``materialized``) and
+    then scanned, so every query plan is a real scan: look-backs push
+    ``created_at`` bounds into the reader and prune ``created_date``
+    partitions, and only the nested ``hw`` leaves a query uses are read.
     """
     prepare(spark)
-    from crashlens.session import checkpoint_dir
     from crashlens.sources.reports import crash_reports
 
-    fp = _fingerprint(sf_dir)
-    app = spark.sparkContext.applicationId
-    path = _FACT_PATHS.get((app, fp))
-    if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/crashlens-facts/{fp}"
-        fs, target, jvm = _hadoop_fs(spark, path)
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-            staging = f"{path}.staging-{uuid.uuid4().hex}"
-            rows = derived_crash_table(spark, sf_dir)
-            (rows.repartition("created_date").write.mode("overwrite")
-                 .partitionBy("created_date").parquet(staging))
-            fs.mkdirs(target.getParent())
-            if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
-                fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
-        _FACT_PATHS[(app, fp)] = path
+    path = materialized(spark, sf_dir, "facts",
+                        lambda: derived_crash_table(spark, sf_dir), "created_date")
     return crash_reports(spark, path)
 
 
+def landing_zone(spark: SparkSession, sf_dir: str,
+                 secret: str = FIXTURE_SECRET) -> str:
+    """Folder of signed raw envelopes (Parquet), as a collector would land
+    them; batch and streaming admission read from here."""
+    prepare(spark)
+    return materialized(spark, sf_dir, f"landing-{hashlib.sha1(secret.encode()).hexdigest()[:8]}",
+                        lambda: derive_raw_envelopes(spark, sf_dir, secret))
+
+
 def raw_envelopes(spark: SparkSession, sf_dir: str,
                   secret: str = FIXTURE_SECRET) -> DataFrame:
-    """Signed POST envelopes that would have produced ``crash_table``.
+    """Signed POST envelopes that would have produced ``crash_table``, read
+    from the landing folder (``landing_zone``)."""
+    from crashlens.sources.reports import read_reports
+
+    return read_reports(spark, landing_zone(spark, sf_dir, secret), "parquet")
+
+
+def derive_raw_envelopes(spark: SparkSession, sf_dir: str,
+                         secret: str = FIXTURE_SECRET) -> DataFrame:
+    """Signed POST envelopes that would have produced ``crash_table`` (lazy).
 
     ``body`` is the JSON report a client sends (ISO ``Z`` timestamp, nested
     hardware object), ``arrived_at`` the arrival instant (``created_at``).
