@@ -17,6 +17,7 @@ from crashlens.operators.guards import payload_ok, rate_limit, signature_valid
 from crashlens.operators.sanitize import sanitized_columns
 from crashlens.operators.validate import table_ok, validate_reports
 from crashlens.functions.hardware import parse_hardware
+from crashlens.session import overwrite_partitions
 from crashlens.schema import (
     IP_SALT, MAX_AGE_HOURS, MAX_PAYLOAD_CHARS, RATE_LIMIT_PER_MINUTE, REPORT_COLUMNS,
     STATUS_ACCEPTED, STATUS_BAD_REQUEST, STATUS_BAD_SIGNATURE, STATUS_INSERT_FAILED,
@@ -103,16 +104,11 @@ def write_batch(accepted: DataFrame, quarantine: DataFrame, root: str,
     ``created_date``) and written with dynamic partition overwrite, so a
     retried batch replaces its own files instead of appending twice.
     """
-    spark = accepted.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     bid = F.lit(str(batch_id))
-    (accepted.withColumn("batch_id", bid)
-             .repartition("created_date")
-             .write.mode("overwrite").partitionBy("batch_id", "created_date")
-             .parquet(f"{root.rstrip('/')}/crash_reports"))
-    (quarantine.withColumn("batch_id", bid)
-               .write.mode("overwrite").partitionBy("batch_id")
-               .parquet(f"{root.rstrip('/')}/quarantine"))
+    overwrite_partitions(accepted.withColumn("batch_id", bid).repartition("created_date"),
+                         "batch_id", "created_date").parquet(f"{root.rstrip('/')}/crash_reports")
+    overwrite_partitions(quarantine.withColumn("batch_id", bid),
+                         "batch_id").parquet(f"{root.rstrip('/')}/quarantine")
 
 
 def write_admitted(admitted: DataFrame, root: str, batch_id: int | str) -> None:

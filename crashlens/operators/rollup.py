@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.functions.time import as_timestamp, lookback, trunc_like, ts_literal
+from crashlens.session import overwrite_partitions
 
 
 def hourly_rollup(reports: DataFrame, *, as_of=None, hours: float = 0,
@@ -63,9 +64,7 @@ def refresh_rollup(reports: DataFrame, path: str, dates=None) -> None:
                else F.to_date("created_at"))
         src = src.where(day.isin(*[F.lit(d) for d in dates]))
     out = hourly_rollup(src).withColumn("hour_date", F.to_date("hour"))
-    spark = reports.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    out.repartition("hour_date").write.mode("overwrite").partitionBy("hour_date").parquet(path)
+    overwrite_partitions(out.repartition("hour_date"), "hour_date").parquet(path)
 
 
 def read_rollup_table(spark, path: str) -> DataFrame:

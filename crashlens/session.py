@@ -54,3 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
                                 dir=os.environ.get("CRASHLENS_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def overwrite_partitions(df, *columns):
+    """Writer that replaces only the partitions present in ``df`` (dynamic
+    partition overwrite as a write option, not a session setting): writing
+    the same batch twice leaves one copy."""
+    return (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy(*columns))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -31,12 +32,12 @@ _COLS = ["request_id", "body", "signature", "client_ip", "arrived_at"]
 _MINUTE_US = 60_000_000
 
 
-def _micros(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy(dtype="datetime64[us]").astype("int64")
 
 
 def _emit(rows: pd.DataFrame, limited: bool) -> pd.DataFrame:
-    out = rows[_COLS].copy()
+    out = rows[_COLS].reset_index(drop=True)
     out["rate_limited"] = limited
     if limited:
         secs = _micros(out["arrived_at"]) // 1_000_000
@@ -46,6 +47,15 @@ def _emit(rows: pd.DataFrame, limited: bool) -> pd.DataFrame:
     return out
 
 
+def _rank_in_minute(minutes: np.ndarray, ts: np.ndarray, ids: np.ndarray):
+    """Sort order by (minute, ts, id) and each sorted row's rank in its minute."""
+    order = np.lexsort((ids, ts, minutes))
+    m = minutes[order]
+    starts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    run = np.repeat(starts, np.diff(np.r_[starts, len(m)]))
+    return order, np.arange(len(m)) - run, m
+
+
 def make_limiter(limit: int):
     def handle(key, batches, state):
         if state.hasTimedOut:
@@ -59,22 +69,25 @@ def make_limiter(limit: int):
         for pdf in batches:
             if pdf.empty:
                 continue
-            pdf = pdf.assign(_m=_micros(pdf["arrived_at"]) // _MINUTE_US)
-            pool = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            pool = pool.sort_values(["_m", "arrived_at", "request_id"], kind="mergesort",
-                                    na_position="first")
-            rank = pool.groupby("_m").cumcount()
-            quota = (limit - pool["_m"].map(used).fillna(0)).clip(lower=0)
+            pool = pdf[_COLS] if kept is None else pd.concat([kept, pdf[_COLS]],
+                                                             ignore_index=True)
+            ts = _micros(pool["arrived_at"])
+            minutes = ts // _MINUTE_US
+            ids = pool["request_id"].fillna("").to_numpy(dtype=object).astype(str)
+            order, rank, m = _rank_in_minute(minutes, ts, ids)
+            quota = np.array([max(limit - used.get(int(x), 0), 0) for x in m]) \
+                if used else np.full(len(m), limit)
             keep = rank < quota
-            kept, dropped = pool[keep], pool[~keep]
-            if len(dropped):
-                yield _emit(dropped, True)
+            kept = pool.iloc[order[keep]]
+            if (~keep).any():
+                yield _emit(pool.iloc[order[~keep]], True)
         if kept is not None and len(kept):
             yield _emit(kept, False)
-            for m, n in kept.groupby("_m").size().items():
-                used[int(m)] = used.get(int(m), 0) + int(n)
+            for m_, n in zip(*np.unique(_micros(kept["arrived_at"]) // _MINUTE_US,
+                                        return_counts=True)):
+                used[int(m_)] = used.get(int(m_), 0) + int(n)
         watermark_min = state.getCurrentWatermarkMs() * 1000 // _MINUTE_US
-        used = {m: n for m, n in used.items() if m >= watermark_min - 1}
+        used = {m_: n for m_, n in used.items() if m_ >= watermark_min - 1}
         if used:
             state.update((list(used), list(used.values())))
             state.setTimeoutTimestamp((max(used) + 2) * _MINUTE_US // 1000)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlens.functions.time import as_timestamp
+from crashlens.session import overwrite_partitions
 
 
 def hourly_rollup_stream(accepted: DataFrame, watermark: str = "10 minutes",
@@ -43,10 +44,8 @@ def start_rollup(rollup: DataFrame, path: str, checkpoint: str,
                  available_now: bool = True, on_batch=None):
     """Write rollup updates per micro-batch (``batch_id`` partitions)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        (batch.withColumn("batch_id", F.lit(batch_id))
-              .write.mode("overwrite").partitionBy("batch_id").parquet(path))
+        overwrite_partitions(batch.withColumn("batch_id", F.lit(batch_id)),
+                             "batch_id").parquet(path)
         if on_batch is not None:
             on_batch(batch, batch_id)
 
@@ -96,7 +95,6 @@ def spike_alerts(baseline: DataFrame, path: str, *, as_of, k: float = 2.0,
                                         / F.nullif(F.col("stddev_crashes"), F.lit(0.0)),
                                         2).alias("z_score"),
                                 F.lit(batch_id).alias("batch_id")))
-        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        flagged.write.mode("overwrite").partitionBy("batch_id").parquet(path)
+        overwrite_partitions(flagged, "batch_id").parquet(path)
 
     return callback

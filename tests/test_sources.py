@@ -65,3 +65,17 @@ def test_replay_fallback_shape(spark):
     raw2 = replay_fallback(fb, arrived_at="2024-01-30T21:00:00Z")
     adm2 = admit(raw2, secret=None, check_signature=False, limit_per_minute=None)
     assert sorted(r.status for r in adm2.collect()) == [400, 400]
+
+
+def test_batch_write_is_idempotent(spark, tmp_path):
+    from crashlens.operators import ingest_batch
+    from crashlens.streaming import read_ingested
+    raw = raw_envelopes(spark, SF_SMALL)
+    root = str(tmp_path / "out")
+    ingest_batch(raw, root, 7, secret=FIXTURE_SECRET, limit_per_minute=2)
+    ingest_batch(raw, root, 7, secret=FIXTURE_SECRET, limit_per_minute=2)  # retried batch
+    acc, quarantine = read_ingested(spark, root)
+    assert acc.count() + quarantine.count() == raw.count()
+    ingest_batch(raw.limit(10), root, 8, secret=FIXTURE_SECRET)
+    acc2, _ = read_ingested(spark, root)
+    assert acc2.count() == acc.count() + 10
