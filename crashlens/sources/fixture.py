@@ -102,9 +102,11 @@ def spread(df: DataFrame) -> DataFrame:
     ``spark.default.parallelism`` is a repartition added; a large input
     already has many splits and is left alone (no extra shuffle at scale).
     """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave as is
+        return df
     return df.repartition(want) if have < want else df
 
 
