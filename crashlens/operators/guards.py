@@ -21,38 +21,58 @@ def signature_valid(body: Column, signature: Column, secret: str | None) -> Colu
 
 
 def rate_limit(df: DataFrame, *, key: str = "client_ip", ts: str = "arrived_at",
-               tiebreak: str = "request_id", limit: int = RATE_LIMIT_PER_MINUTE
-               ) -> DataFrame:
+               tiebreak: str = "request_id", limit: int = RATE_LIMIT_PER_MINUTE,
+               prior: DataFrame | None = None) -> DataFrame:
     """G1: fixed one-minute windows per client; the first ``limit`` requests
     of a (client, minute) pass, later ones get ``rate_limited = true`` and
     ``retry_after`` (seconds to the next window).
 
+    ``prior`` (columns ``client_key, minute, admitted``) carries requests
+    already admitted in earlier batches; a group then has ``limit -
+    admitted`` places left.  This is how a stream continues its counts
+    across micro-batches (``streaming.limit_micro_batch``).
+
     Exact and skew-safe: no task ever holds a whole (client, minute) group.
 
     1. Each group's cut-off is the largest ``(ts, tiebreak)`` among its
-       first ``limit`` requests.  The ranked filter ``row_number() <= limit``
+       first ``quota`` requests.  The ranked filter ``row_number() <= limit``
        runs as a per-task top-``limit`` before the shuffle
        (WindowGroupLimit), so a flooding client sends at most ``limit`` rows
-       per map task; a group with at most ``limit`` requests gets its own
+       per map task; a group with at most ``quota`` requests gets its own
        maximum as cut-off and limits nobody.
     2. Rows are compared with their group's cut-off after a join with the
        one-row-per-group table; AQE splits a skewed partition of the big
        side (left outer join) or broadcasts the cut-offs when small.
     """
-    keyed = (df.withColumn("_rl_key", F.coalesce(F.col(key), F.lit("unknown")))
+    keyed = (df.withColumn("_rl_key", client_key(F.col(key)))
                .withColumn("_rl_minute", F.date_trunc("minute", F.col(ts))))
     groups = ["_rl_key", "_rl_minute"]
     order = Window.partitionBy(*groups).orderBy(F.col(ts), F.col(tiebreak))
-    cut = (keyed.select(*groups, F.col(ts).alias("_rl_ts"), F.col(tiebreak).alias("_rl_tb"),
-                        F.row_number().over(order).alias("_rl_rank"))
-                .where(F.col("_rl_rank") <= limit)
-                .groupBy(*groups)
-                .agg(F.max(F.struct("_rl_ts", "_rl_tb")).alias("_rl_cut")))
+    ranked = (keyed.select(*groups, F.col(ts).alias("_rl_ts"), F.col(tiebreak).alias("_rl_tb"),
+                           F.row_number().over(order).alias("_rl_rank"))
+                   .where(F.col("_rl_rank") <= limit))
+    if prior is None:
+        quota = F.lit(limit)
+    else:
+        used = prior.select(F.col("client_key").alias("_rl_key"),
+                            F.col("minute").alias("_rl_minute"),
+                            F.col("admitted").alias("_rl_used"))
+        ranked = ranked.join(used, groups, "left")
+        quota = F.greatest(F.lit(limit) - F.coalesce(F.col("_rl_used"), F.lit(0)), F.lit(0))
+    cut = (ranked.groupBy(*groups)
+                 .agg(F.max(F.when(F.col("_rl_rank") <= quota,
+                                   F.struct("_rl_ts", "_rl_tb"))).alias("_rl_cut"),
+                      F.max(quota).alias("_rl_quota")))
     joined = keyed.join(cut, groups, "left")
     after_cut = (F.col(ts) > F.col("_rl_cut._rl_ts")) | (
         (F.col(ts) == F.col("_rl_cut._rl_ts")) & (F.col(tiebreak) > F.col("_rl_cut._rl_tb")))
-    limited = F.coalesce(after_cut, F.lit(False))
+    limited = F.coalesce(F.col("_rl_quota") == 0, F.lit(False)) | F.coalesce(after_cut, F.lit(False))
     retry = (F.lit(60) - (F.unix_seconds(F.col(ts).cast("timestamp")) % 60)).cast("int")
     return (joined.withColumn("rate_limited", limited)
                   .withColumn("retry_after", F.when(limited, retry))
-                  .drop("_rl_key", "_rl_minute", "_rl_cut"))
+                  .drop("_rl_key", "_rl_minute", "_rl_cut", "_rl_quota"))
+
+
+def client_key(col: Column) -> Column:
+    """Rate-limit key of a client address (a missing address is one client)."""
+    return F.coalesce(col, F.lit("unknown"))

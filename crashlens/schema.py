@@ -129,3 +129,24 @@ REPORT_COLUMNS = [
 ]
 ROLLUP_COLUMNS = ["app_name", "app_version", "platform", "hour",
                   "crash_count", "unique_users"]
+
+# Stored fact table as written by ingestion (partition columns last).
+FACT_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ["id", "app_name", "app_version"]]
+    + [T.StructField("crash_timestamp", T.TimestampType())]
+    + [T.StructField(c, T.StringType()) for c in
+       ["platform", "error_message", "stack_trace", "hardware_specs", "user_id", "session_id"]]
+    + [T.StructField("created_at", T.TimestampType()),
+       T.StructField("ip_hash", T.StringType()),
+       T.StructField("hw", HARDWARE_SCHEMA),
+       T.StructField("batch_id", T.StringType()),
+       T.StructField("created_date", T.DateType())])
+
+# Quarantine table: the raw envelope and why it was refused.
+QUARANTINE_SCHEMA = T.StructType(RAW_SCHEMA.fields + [
+    T.StructField("status", T.IntegerType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("errors", T.ArrayType(T.StringType())),
+    T.StructField("retry_after", T.IntegerType()),
+    T.StructField("batch_id", T.StringType()),
+])

@@ -62,3 +62,11 @@ def overwrite_partitions(df, *columns):
     the same batch twice leaves one copy."""
     return (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy(*columns))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence test through the Hadoop file system of ``path`` (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(jpath))

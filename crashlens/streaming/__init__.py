@@ -3,13 +3,13 @@
 from crashlens.streaming.ingest import (
     admit_stream, dedup_stream, read_ingested, read_report_stream, start_ingest,
 )
-from crashlens.streaming.limiter import rate_limit_stream
+from crashlens.streaming.limiter import limit_micro_batch, rate_limit_stream
 from crashlens.streaming.rollup import (
     hourly_rollup_stream, read_rollup, spike_alerts, start_rollup,
 )
 
 __all__ = [
     "admit_stream", "dedup_stream", "read_ingested", "read_report_stream",
-    "start_ingest", "rate_limit_stream", "hourly_rollup_stream", "read_rollup",
+    "start_ingest", "rate_limit_stream", "limit_micro_batch", "hourly_rollup_stream", "read_rollup",
     "spike_alerts", "start_rollup",
 ]

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens.operators.ingest import admit, write_admitted
-from crashlens.schema import RAW_SCHEMA, RATE_LIMIT_PER_MINUTE
+from crashlens.schema import (
+    FACT_SCHEMA, QUARANTINE_SCHEMA, RAW_SCHEMA, RATE_LIMIT_PER_MINUTE,
+)
 from crashlens.session import prepare
-from crashlens.streaming.limiter import rate_limit_stream
+from crashlens.streaming.limiter import limit_micro_batch, rate_limit_stream
 
 
 def read_report_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -42,12 +44,32 @@ def admit_stream(stream: DataFrame, *, secret: str | None,
 
 def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str | None,
                  limit_per_minute: int | None = RATE_LIMIT_PER_MINUTE,
-                 available_now: bool = True, **kw):
-    """Admit a stream and write accepted / quarantine per micro-batch."""
-    admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, **kw)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_admitted(batch, root, batch_id)
+                 available_now: bool = True, limiter: str = "ledger", **kw):
+    """Admit a stream and write accepted / quarantine per micro-batch.
+
+    ``limiter="ledger"`` (default) rate-limits each micro-batch with the
+    skew-safe batch operator and a ledger of earlier batches' counts
+    (``limit_micro_batch``, no Python); ``limiter="state"`` uses the
+    stateful ``applyInPandasWithState`` limiter inside the stream.
+    """
+    if limiter == "state" or limit_per_minute is None:
+        admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, **kw)
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            write_admitted(batch, root, batch_id)
+    elif limiter == "ledger":
+        admitted = stream
+        ledger = f"{root.rstrip('/')}/_limiter_ledger"
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            limited = limit_micro_batch(batch, ledger, batch_id, limit_per_minute)
+            try:
+                write_admitted(admit(limited, secret=secret, precomputed_limit=True, **kw),
+                               root, batch_id)
+            finally:
+                limited.unpersist()
+    else:
+        raise ValueError(f"unknown limiter: {limiter}")
 
     writer = admitted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
@@ -62,9 +84,9 @@ def dedup_stream(stream: DataFrame, key: str = "request_id",
 
 def read_ingested(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Accepted and quarantine tables written by ``start_ingest``."""
-    acc = spark.read.parquet(f"{root.rstrip('/')}/crash_reports")
-    qua = spark.read.parquet(f"{root.rstrip('/')}/quarantine")
-    return acc, qua.drop("batch_id") if "batch_id" in qua.columns else qua
+    acc = spark.read.schema(FACT_SCHEMA).parquet(f"{root.rstrip('/')}/crash_reports")
+    qua = spark.read.schema(QUARANTINE_SCHEMA).parquet(f"{root.rstrip('/')}/quarantine")
+    return acc, qua.drop("batch_id")
 
 
 __all__ = ["read_report_stream", "admit_stream", "start_ingest", "dedup_stream",

@@ -28,6 +28,7 @@ from crashlens.schema import RATE_LIMIT_PER_MINUTE
 OUTPUT_SCHEMA = ("request_id string, body string, signature string, client_ip string, "
                  "arrived_at timestamp, rate_limited boolean, retry_after int")
 STATE_SCHEMA = "minutes array<long>, admitted array<long>"
+LEDGER_SCHEMA = "client_key string, minute timestamp, admitted long, batch_id int"
 _COLS = ["request_id", "body", "signature", "client_ip", "arrived_at"]
 _MINUTE_US = 60_000_000
 
@@ -109,3 +110,41 @@ def rate_limit_stream(stream: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
     return (keyed.groupBy("_key")
                  .applyInPandasWithState(make_limiter(limit), OUTPUT_SCHEMA, STATE_SCHEMA,
                                          "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def limit_micro_batch(batch: DataFrame, ledger: str, batch_id: int,
+                      limit: int = RATE_LIMIT_PER_MINUTE) -> DataFrame:
+    """Exact rate limit of one micro-batch inside ``foreachBatch``.
+
+    JVM-only alternative to ``rate_limit_stream``: the batch operator
+    (partial top-k per task, cut-off join; skew-safe) runs on the
+    micro-batch, continuing from a ledger of requests admitted by earlier
+    batches (``client_key, minute, admitted``, one partition per batch).
+    The ledger partition of this batch is written with dynamic overwrite and
+    earlier batches are read as ``batch_id < this one``, so a replayed batch
+    recomputes and rewrites exactly its own counts.  Returns the limited
+    rows, persisted; the caller unpersists after its writes.
+    """
+    from pyspark import StorageLevel
+
+    from crashlens.operators.guards import client_key, rate_limit
+    from crashlens.session import overwrite_partitions, path_exists
+
+    spark = batch.sparkSession
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    prior = None
+    first = batch.agg(F.min(F.date_trunc("minute", "arrived_at")).alias("m")).first().m
+    if first is not None and path_exists(spark, ledger):
+        prior = (spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
+                      .where((F.col("batch_id") < batch_id) & (F.col("minute") >= F.lit(first)))
+                      .groupBy("client_key", "minute")
+                      .agg(F.sum("admitted").alias("admitted")))
+    out = rate_limit(batch, limit=limit, prior=prior).persist(StorageLevel.MEMORY_AND_DISK)
+    admitted = (out.where(~F.col("rate_limited"))
+                   .groupBy(client_key(F.col("client_ip")).alias("client_key"),
+                            F.date_trunc("minute", "arrived_at").alias("minute"))
+                   .agg(F.count(F.lit(1)).alias("admitted"))
+                   .withColumn("batch_id", F.lit(batch_id)))
+    overwrite_partitions(admitted, "batch_id").parquet(ledger)
+    batch.unpersist()
+    return out

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from crashlens.operators import rate_limit
@@ -64,3 +65,28 @@ def test_stream_limiter_equals_batch(spark, tmp_path):
         "SELECT request_id FROM limiter_out WHERE rate_limited").collect()}
     assert spark.sql("SELECT count(*) AS n FROM limiter_out").first().n == len(rows)
     assert got == brute_force(rows)
+
+
+@pytest.mark.parametrize("limiter", ["ledger", "state"])
+def test_stream_limiter_across_micro_batches(spark, tmp_path, limiter):
+    """Groups span micro-batches: counts must carry over from batch to batch."""
+    from crashlens.operators import admit
+    from crashlens.streaming import read_ingested, read_report_stream, start_ingest
+
+    rows = sorted(skewed_rows(300, 200, seed=5), key=lambda r: (r[4], r[0]))
+    land = tmp_path / "landing"
+    for i in range(4):  # four files in time order, one micro-batch each
+        part = rows[i * len(rows) // 4:(i + 1) * len(rows) // 4]
+        spark.createDataFrame(part, RAW_SCHEMA).coalesce(1).write.mode("append").parquet(
+            str(land))
+    stream = read_report_stream(spark, str(land), max_files_per_trigger=1)
+    q = start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"), secret=None,
+                     check_signature=False, limit_per_minute=LIMIT, limiter=limiter)
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 4
+    _, quarantine = read_ingested(spark, str(tmp_path / "out"))
+    got = {r.request_id for r in quarantine.where(F.col("status") == 429).collect()}
+    assert got == brute_force(rows)
+    batch = admit(spark.createDataFrame(rows, RAW_SCHEMA), secret=None,
+                  check_signature=False, limit_per_minute=LIMIT)
+    assert got == {r.request_id for r in batch.where("status = 429").collect()}
