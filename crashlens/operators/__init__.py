@@ -5,7 +5,7 @@ from crashlens.operators.ingest import (
     admit, ingest_batch, split, write_admitted, write_batch,
 )
 from crashlens.operators.rollup import (
-    hour_window, hourly_rollup, read_rollup_table, refresh_rollup,
+    crash_analytics, hour_window, hourly_rollup, read_rollup_table, refresh_rollup,
 )
 from crashlens.operators.sanitize import sanitize_reports
 from crashlens.operators.validate import (
@@ -14,6 +14,6 @@ from crashlens.operators.validate import (
 
 __all__ = [
     "payload_ok", "rate_limit", "signature_valid", "admit", "split", "write_batch", "write_admitted", "ingest_batch",
-    "hour_window", "hourly_rollup", "refresh_rollup", "read_rollup_table", "sanitize_reports", "check_table", "parse_body",
+    "crash_analytics", "hour_window", "hourly_rollup", "refresh_rollup", "read_rollup_table", "sanitize_reports", "check_table", "parse_body",
     "rule_violations", "table_ok", "validate_reports",
 ]

@@ -40,6 +40,11 @@ def hourly_rollup(reports: DataFrame, *, as_of=None, hours: float = 0,
     return out
 
 
+def crash_analytics(reports: DataFrame) -> DataFrame:
+    """S3: the hourly view over the whole fact table (``hourly_rollup``)."""
+    return hourly_rollup(reports)
+
+
 def hour_window(rollup: DataFrame, as_of, *, hours: float = 0,
                 days: float = 0) -> DataFrame:
     """Rows of an existing rollup with ``hour > as_of - window``."""

@@ -87,11 +87,15 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite")
         raise ValueError(f"unsupported format: {fmt}")
 
 
-def register_views(spark: SparkSession, reports: DataFrame,
+def register_views(spark: SparkSession, reports: DataFrame | str,
                    rollup: DataFrame | None = None) -> None:
-    """Expose ``crash_reports`` and ``crash_analytics`` to SQL users."""
+    """Expose ``crash_reports`` and ``crash_analytics`` to SQL users.
+
+    ``reports`` is the fact table or the folder it is stored in."""
     from crashlens.operators.rollup import hourly_rollup
 
+    if isinstance(reports, str):
+        reports = crash_reports(spark, reports)
     reports.createOrReplaceTempView("crash_reports")
     (rollup if rollup is not None else hourly_rollup(reports)) \
         .createOrReplaceTempView("crash_analytics")

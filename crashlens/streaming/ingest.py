@@ -11,15 +11,17 @@ wall clock, so reruns give the same answer.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlens.operators.ingest import admit, write_admitted
+from crashlens.operators.guards import rate_limit
+from crashlens.operators.ingest import admit, split, write_admitted, write_batch
 from crashlens.schema import (
-    FACT_SCHEMA, QUARANTINE_SCHEMA, RAW_SCHEMA, RATE_LIMIT_PER_MINUTE,
+    FACT_SCHEMA, QUARANTINE_SCHEMA, RAW_SCHEMA, RATE_LIMIT_PER_MINUTE, STATUS_RATE_LIMITED,
 )
 from crashlens.session import prepare
-from crashlens.streaming.limiter import limit_micro_batch, rate_limit_stream
+from crashlens.streaming.limiter import ledger_prior, rate_limit_stream, record_admitted
 
 
 def read_report_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -49,7 +51,7 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
 
     ``limiter="ledger"`` (default) rate-limits each micro-batch with the
     skew-safe batch operator and a ledger of earlier batches' counts
-    (``limit_micro_batch``, no Python); ``limiter="state"`` uses the
+    (``ledger_prior`` / ``record_admitted``, no Python); ``limiter="state"`` uses the
     stateful ``applyInPandasWithState`` limiter inside the stream.
     """
     if limiter == "state" or limit_per_minute is None:
@@ -62,12 +64,21 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
         ledger = f"{root.rstrip('/')}/_limiter_ledger"
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            limited = limit_micro_batch(batch, ledger, batch_id, limit_per_minute)
+            # one persisted batch feeds: ledger lookup, both outputs, ledger update;
+            # every write is idempotent per batch id, so any retry is safe
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                write_admitted(admit(limited, secret=secret, precomputed_limit=True, **kw),
-                               root, batch_id)
+                prior = ledger_prior(batch, ledger, batch_id)
+                limited = rate_limit(batch, limit=limit_per_minute, prior=prior)
+                admitted = admit(limited, secret=secret, precomputed_limit=True, **kw)
+                admitted = admitted.persist(StorageLevel.MEMORY_AND_DISK)
+                accepted, quarantine = split(admitted)
+                write_batch(accepted, quarantine, root, batch_id)
+                record_admitted(admitted.where(F.col("status") != STATUS_RATE_LIMITED),
+                                ledger, batch_id)
+                admitted.unpersist()
             finally:
-                limited.unpersist()
+                batch.unpersist()
     else:
         raise ValueError(f"unknown limiter: {limiter}")
 

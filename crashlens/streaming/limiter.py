@@ -112,6 +112,36 @@ def rate_limit_stream(stream: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
                                          "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def ledger_prior(batch: DataFrame, ledger: str, batch_id: int) -> DataFrame | None:
+    """Requests admitted by earlier micro-batches for the minutes this batch
+    touches (``client_key, minute, admitted``), or None before the first."""
+    from crashlens.session import path_exists
+
+    spark = batch.sparkSession
+    if not path_exists(spark, ledger):
+        return None
+    first = batch.agg(F.min(F.date_trunc("minute", "arrived_at")).alias("m")).first().m
+    if first is None:
+        return None
+    return (spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
+                 .where((F.col("batch_id") < batch_id) & (F.col("minute") >= F.lit(first)))
+                 .groupBy("client_key", "minute")
+                 .agg(F.sum("admitted").alias("admitted")))
+
+
+def record_admitted(passed: DataFrame, ledger: str, batch_id: int) -> None:
+    """Write this batch's admitted counts per (client, minute) to its ledger
+    partition (dynamic overwrite: a replayed batch rewrites only its own)."""
+    from crashlens.operators.guards import client_key
+    from crashlens.session import overwrite_partitions
+
+    counts = (passed.groupBy(client_key(F.col("client_ip")).alias("client_key"),
+                             F.date_trunc("minute", "arrived_at").alias("minute"))
+                    .agg(F.count(F.lit(1)).alias("admitted"))
+                    .withColumn("batch_id", F.lit(batch_id)))
+    overwrite_partitions(counts, "batch_id").parquet(ledger)
+
+
 def limit_micro_batch(batch: DataFrame, ledger: str, batch_id: int,
                       limit: int = RATE_LIMIT_PER_MINUTE) -> DataFrame:
     """Exact rate limit of one micro-batch inside ``foreachBatch``.
@@ -120,31 +150,15 @@ def limit_micro_batch(batch: DataFrame, ledger: str, batch_id: int,
     (partial top-k per task, cut-off join; skew-safe) runs on the
     micro-batch, continuing from a ledger of requests admitted by earlier
     batches (``client_key, minute, admitted``, one partition per batch).
-    The ledger partition of this batch is written with dynamic overwrite and
-    earlier batches are read as ``batch_id < this one``, so a replayed batch
-    recomputes and rewrites exactly its own counts.  Returns the limited
-    rows, persisted; the caller unpersists after its writes.
+    Earlier batches are read as ``batch_id < this one`` and this batch's
+    partition is overwritten, so a replayed batch recomputes exactly its own
+    counts.  Returns the limited rows, persisted (the caller unpersists).
     """
     from pyspark import StorageLevel
 
-    from crashlens.operators.guards import client_key, rate_limit
-    from crashlens.session import overwrite_partitions, path_exists
+    from crashlens.operators.guards import rate_limit
 
-    spark = batch.sparkSession
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    prior = None
-    first = batch.agg(F.min(F.date_trunc("minute", "arrived_at")).alias("m")).first().m
-    if first is not None and path_exists(spark, ledger):
-        prior = (spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
-                      .where((F.col("batch_id") < batch_id) & (F.col("minute") >= F.lit(first)))
-                      .groupBy("client_key", "minute")
-                      .agg(F.sum("admitted").alias("admitted")))
+    prior = ledger_prior(batch, ledger, batch_id)
     out = rate_limit(batch, limit=limit, prior=prior).persist(StorageLevel.MEMORY_AND_DISK)
-    admitted = (out.where(~F.col("rate_limited"))
-                   .groupBy(client_key(F.col("client_ip")).alias("client_key"),
-                            F.date_trunc("minute", "arrived_at").alias("minute"))
-                   .agg(F.count(F.lit(1)).alias("admitted"))
-                   .withColumn("batch_id", F.lit(batch_id)))
-    overwrite_partitions(admitted, "batch_id").parquet(ledger)
-    batch.unpersist()
+    record_admitted(out.where(~F.col("rate_limited")), ledger, batch_id)
     return out
