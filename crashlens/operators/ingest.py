@@ -17,7 +17,7 @@ from crashlens.operators.guards import payload_ok, rate_limit, signature_valid
 from crashlens.operators.sanitize import sanitized_columns
 from crashlens.operators.validate import table_ok, validate_reports
 from crashlens.functions.hardware import parse_hardware
-from crashlens.session import overwrite_partitions
+from crashlens.session import by_partition, overwrite_partitions
 from crashlens.schema import (
     IP_SALT, MAX_AGE_HOURS, MAX_PAYLOAD_CHARS, RATE_LIMIT_PER_MINUTE, REPORT_COLUMNS,
     STATUS_ACCEPTED, STATUS_BAD_REQUEST, STATUS_BAD_SIGNATURE, STATUS_INSERT_FAILED,
@@ -97,7 +97,7 @@ def split(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_batch(accepted: DataFrame, quarantine: DataFrame, root: str,
-                batch_id: int | str) -> None:
+                batch_id: int | str, files_per_date: int | None = None) -> None:
     """Write one admitted batch idempotently.
 
     Both tables are partitioned by ``batch_id`` (and the fact table also by
@@ -105,8 +105,9 @@ def write_batch(accepted: DataFrame, quarantine: DataFrame, root: str,
     retried batch replaces its own files instead of appending twice.
     """
     bid = F.lit(str(batch_id))
-    overwrite_partitions(accepted.withColumn("batch_id", bid).repartition("created_date"),
-                         "batch_id", "created_date").parquet(f"{root.rstrip('/')}/crash_reports")
+    rows = by_partition(accepted.withColumn("batch_id", bid), "created_date", files_per_date)
+    overwrite_partitions(rows, "batch_id", "created_date").parquet(
+        f"{root.rstrip('/')}/crash_reports")
     overwrite_partitions(quarantine.withColumn("batch_id", bid),
                          "batch_id").parquet(f"{root.rstrip('/')}/quarantine")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.functions.time import as_timestamp, lookback, trunc_like, ts_literal
-from crashlens.session import overwrite_partitions
+from crashlens.session import by_partition, overwrite_partitions
 
 
 def hourly_rollup(reports: DataFrame, *, as_of=None, hours: float = 0,
@@ -52,7 +52,8 @@ def hour_window(rollup: DataFrame, as_of, *, hours: float = 0,
     return rollup.where(F.col("hour") > ts_literal(since, rollup.schema["hour"].dataType))
 
 
-def refresh_rollup(reports: DataFrame, path: str, dates=None) -> None:
+def refresh_rollup(reports: DataFrame, path: str, dates=None,
+                   files_per_date: int | None = None) -> None:
     """Materialise the rollup, partitioned by ``hour_date``.
 
     With ``dates`` (arrival dates that received new reports) only those
@@ -69,7 +70,7 @@ def refresh_rollup(reports: DataFrame, path: str, dates=None) -> None:
                else F.to_date("created_at"))
         src = src.where(day.isin(*[F.lit(d) for d in dates]))
     out = hourly_rollup(src).withColumn("hour_date", F.to_date("hour"))
-    overwrite_partitions(out.repartition("hour_date"), "hour_date").parquet(path)
+    overwrite_partitions(by_partition(out, "hour_date", files_per_date), "hour_date").parquet(path)
 
 
 def read_rollup_table(spark, path: str) -> DataFrame:

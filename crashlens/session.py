@@ -70,3 +70,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
+
+
+def by_partition(df, column: str, files_per_value: int | None = None):
+    """Lay rows out for a write partitioned by ``column``.
+
+    ``files_per_value=None`` adds no shuffle: each task sorts its rows by the
+    partition value and writes at most one file per value it holds.  With a
+    number, rows are hash-spread over ``column`` and a salt from every
+    column's hash, so one value (one busy day) is written by that many tasks
+    instead of one; choose it near the value's bytes / 512 MB.
+    """
+    from pyspark.sql import functions as F
+
+    if files_per_value is None:
+        return df.sortWithinPartitions(column)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_value))
+    return df.repartition(F.col(column), salt).sortWithinPartitions(column)

@@ -133,7 +133,7 @@ def derived_crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # bump when the derivation or the stored layout changes
-FACT_LAYOUT_VERSION = "1"
+FACT_LAYOUT_VERSION = "2"
 _FACT_PATHS: dict[tuple, str] = {}
 
 
@@ -156,7 +156,7 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build,
-                 partition_by: str | None = None) -> str:
+                 partition_by: str | None = None, files_per_value: int | None = 2) -> str:
     """Path of a table derived from the driver tables, written once.
 
     The folder lives under the session's shared ``spark.checkpoint.dir``
@@ -165,7 +165,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     folder and renamed into place, so concurrent writers never expose a
     partial table; a written table also cuts the lineage of what reads it.
     """
-    from crashlens.session import checkpoint_dir
+    from crashlens.session import by_partition, checkpoint_dir
 
     fp = _fingerprint(sf_dir)
     app = spark.sparkContext.applicationId
@@ -177,7 +177,9 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
         staging = f"{path}.staging-{uuid.uuid4().hex}"
         rows = build()
-        writer = (rows.repartition(partition_by) if partition_by else rows).write.mode("overwrite")
+        if partition_by:
+            rows = by_partition(rows, partition_by, files_per_value)
+        writer = rows.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(staging)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from crashlens.functions.hardware import with_hardware
 from crashlens.schema import RAW_SCHEMA, REPORT_COLUMNS
-from crashlens.session import prepare
+from crashlens.session import by_partition, prepare
 
 
 def read_reports(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -34,14 +34,17 @@ def crash_reports(spark: SparkSession, path: str) -> DataFrame:
     return with_hardware(spark.read.parquet(path))
 
 
-def append_reports(df: DataFrame, path: str) -> None:
-    """Append accepted rows (S5, append only: no update or delete path)."""
+def append_reports(df: DataFrame, path: str, files_per_date: int | None = None) -> None:
+    """Append accepted rows (S5, append only: no update or delete path).
+
+    No shuffle by default (see ``session.by_partition``); ``files_per_date``
+    spreads each arrival date over that many writer tasks.
+    """
     cols = [c for c in REPORT_COLUMNS + ["hw", "created_date"] if c in df.columns]
     out = df.select(*cols)
     if "created_date" not in out.columns:
         out = out.withColumn("created_date", F.to_date("created_at"))
-    # one shuffle on the partition column keeps files per date few and large
-    (out.repartition("created_date").write.mode("append")
+    (by_partition(out, "created_date", files_per_date).write.mode("append")
         .partitionBy("created_date").parquet(path))
 
 
