@@ -8,19 +8,30 @@ seconds).  Keys without SQL are checked by row count only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crashlens import plans as P
+from crashlens.functions.text import REMOVED_CHARS, TRIM_CHARS, sanitize
+from crashlens.operators import admit, hourly_rollup, split
 from crashlens.oracle import (
     CORES, CPU, GPU, MEM, SYS, avg_gb, joined, num, q, ratio, tier, ts,
 )
 from crashlens.schema import (
     MEMORY_TIERS_3, MEMORY_TIERS_4, MEMORY_TIERS_5, REPORT_COLUMNS,
 )
-from crashlens.sources.fixture import AS_OF, crash_table
-from crashlens.sources.reports import flatten_for_export
+from crashlens.session import checkpoint_dir
+from crashlens.sources.fixture import (
+    AS_OF, FIXTURE_SECRET, crash_table, landing_zone, raw_envelopes, read_table,
+)
+from crashlens.sources.reports import flatten_for_export, replay_fallback
+from crashlens.streaming import (
+    hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
+    start_ingest, start_rollup,
+)
 
 APP = "app-1"
 SEARCH = "CLICK Failed: code 1"
@@ -459,13 +470,6 @@ def oracle_sql() -> dict[str, str]:
 # Raw signed envelopes are derived from the same events (sources.fixture);
 # the oracle recomputes every admission decision from the table columns.
 
-from crashlens.functions.text import REMOVED_CHARS, TRIM_CHARS, sanitize  # noqa: E402
-from crashlens.operators import admit, hourly_rollup, split  # noqa: E402
-from crashlens.sources.fixture import (  # noqa: E402
-    FIXTURE_SECRET, landing_zone, raw_envelopes, read_table,
-)
-from crashlens.sources.reports import replay_fallback  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 BURST_LIMIT = 2  # per client and minute; the fixture peaks at 7
 
@@ -595,14 +599,6 @@ def _replay(spark, d):
 # the stream wrote; the oracle is the batch SQL, so these keys check
 # batch = stream.
 
-import uuid  # noqa: E402
-
-from crashlens.session import checkpoint_dir  # noqa: E402
-from crashlens.streaming import (  # noqa: E402
-    hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
-    start_ingest, start_rollup,
-)
-
 
 def _stream_run(spark, d):
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"

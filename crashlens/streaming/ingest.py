@@ -101,4 +101,4 @@ def read_ingested(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 
 
 __all__ = ["read_report_stream", "admit_stream", "start_ingest", "dedup_stream",
-           "read_ingested", "F"]
+           "read_ingested"]
