@@ -161,3 +161,29 @@ def test_sanitize_matches_brute_force(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.s for r in df.select(sanitize(F.col("t")).alias("s")).collect()]
     assert got == [js_sanitize(t) for t in texts]
+
+
+def test_insert_policy_window(spark):
+    """The policy window (now-24h, now] is exclusive below, unlike V10."""
+    cases = {"exact_24h": (NOW - dt.timedelta(hours=24), 500),
+             "inside": (NOW - dt.timedelta(hours=23, minutes=59), 200)}
+    rows = []
+    for name, (t, _) in cases.items():
+        body = json.dumps(report(crash_timestamp=t.isoformat() + "Z"))
+        rows.append((name, body, sign(body), "10.1.1.1", NOW))
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    got = {r.request_id: r.status for r in admit(raw, secret=SECRET, policy=True).collect()}
+    assert got == {k: v for k, (_, v) in cases.items()}
+    plain = {r.request_id: r.status for r in admit(raw, secret=SECRET).collect()}
+    assert plain == {"exact_24h": 200, "inside": 200}
+
+
+def test_retry_after_and_order_of_stages(spark):
+    """A rate-limited request reports 429 even when its body is also bad."""
+    body = '{"broken": '
+    rows = [(f"r{i}", body, "sha256=00", "9.9.9.9", NOW + dt.timedelta(seconds=i))
+            for i in range(3)]
+    out = admit(spark.createDataFrame(rows, RAW_SCHEMA), secret=SECRET,
+                limit_per_minute=2).orderBy("request_id").collect()
+    assert [r.status for r in out] == [401, 401, 429]
+    assert out[2].retry_after == 60 - 2 and out[2].errors == []
