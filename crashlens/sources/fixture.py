@@ -135,6 +135,9 @@ def derived_crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bump when the derivation or the stored layout changes
 FACT_LAYOUT_VERSION = "2"
 _FACT_PATHS: dict[tuple, str] = {}
+# scans of written fixture tables per session: immutable folders, so the file
+# listing and footer schema are read once, as a catalog table would cache them
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def _fingerprint(sf_dir: str) -> str:
@@ -205,7 +208,10 @@ def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = materialized(spark, sf_dir, "facts",
                         lambda: derived_crash_table(spark, sf_dir), "created_date")
-    return crash_reports(spark, path)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = crash_reports(spark, path)
+    return _TABLES[key]
 
 
 def landing_zone(spark: SparkSession, sf_dir: str,
@@ -223,7 +229,11 @@ def raw_envelopes(spark: SparkSession, sf_dir: str,
     from the landing folder (``landing_zone``)."""
     from crashlens.sources.reports import read_reports
 
-    return read_reports(spark, landing_zone(spark, sf_dir, secret), "parquet")
+    path = landing_zone(spark, sf_dir, secret)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = read_reports(spark, path, "parquet")
+    return _TABLES[key]
 
 
 def derive_raw_envelopes(spark: SparkSession, sf_dir: str,
