@@ -28,6 +28,34 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+# Settings for a large cluster (about 1000 executors, 100 TB of reports).
+# Shuffle partitions start high and AQE coalesces them to the advisory size;
+# skewed join partitions are split; scans read 256 MB splits; the streaming
+# state (hourly rollup windows, the Python limiter) lives in RocksDB so it is
+# not bounded by executor heap.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
+    """Apply ``CLUSTER_CONF`` (plus ``overrides``) to a running session."""
+    for key, value in {**CLUSTER_CONF, **(overrides or {})}.items():
+        try:
+            spark.conf.set(key, value)
+        except Exception:  # noqa: BLE001 - static confs must be set at launch instead
+            pass
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every crashlens plan assumes, applied to any session.
 
