@@ -140,8 +140,9 @@ def test_hmac_matches_python(spark):
     assert row.h == want and row.ok
 
 
-JS_SPACE = "   " + "".join(map(chr, range(0x2000, 0x200B))) + \
-    "    　﻿"
+# white space a JavaScript String.trim() removes (after control characters are gone)
+JS_SPACE = (" \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+            + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def js_sanitize(s):
