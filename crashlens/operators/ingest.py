@@ -13,16 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crashlens.functions.hardware import parse_hardware
 from crashlens.operators.guards import payload_ok, rate_limit, signature_valid
 from crashlens.operators.sanitize import sanitized_columns
 from crashlens.operators.validate import table_ok, validate_reports
-from crashlens.functions.hardware import parse_hardware
-from crashlens.session import by_partition, overwrite_partitions
 from crashlens.schema import (
     IP_SALT, MAX_AGE_HOURS, MAX_PAYLOAD_CHARS, RATE_LIMIT_PER_MINUTE, REPORT_COLUMNS,
     STATUS_ACCEPTED, STATUS_BAD_REQUEST, STATUS_BAD_SIGNATURE, STATUS_INSERT_FAILED,
     STATUS_RATE_LIMITED, STATUS_TOO_LARGE,
 )
+from crashlens.session import by_partition, overwrite_partitions
 
 RAW_COLUMNS = ["request_id", "body", "signature", "client_ip", "arrived_at"]
 QUARANTINE_COLUMNS = RAW_COLUMNS + ["status", "reason", "errors", "retry_after"]
@@ -43,22 +43,26 @@ def admit(raw: DataFrame, *, secret: str | None, as_of=None,
     the input (the streaming limiter computes them with state).
     """
     df = raw
-    if precomputed_limit:
-        pass
-    elif limit_per_minute is not None:
-        df = rate_limit(df, limit=limit_per_minute)
-    else:
-        df = (df.withColumn("rate_limited", F.lit(False))
-                .withColumn("retry_after", F.lit(None).cast("int")))
+    if not precomputed_limit:
+        if limit_per_minute is not None:
+            df = rate_limit(df, limit=limit_per_minute)
+        else:
+            df = (df.withColumn("rate_limited", F.lit(False))
+                    .withColumn("retry_after", F.lit(None).cast("int")))
     df = validate_reports(df, as_of=as_of, max_age_hours=max_age_hours)
     sig_ok = (signature_valid(F.col("body"), F.col("signature"), secret)
               if check_signature else F.lit(True))
+    # sanitised report columns, computed once per row below the decision
+    df = df.select(*RAW_COLUMNS, "rate_limited", "retry_after", "json_ok", "errors",
+                   sig_ok.alias("_sig_ok"), *sanitized_columns(salt))
     refused = [
         (F.col("rate_limited"), STATUS_RATE_LIMITED, "rate_limited"),
         (~payload_ok(F.col("body"), max_payload), STATUS_TOO_LARGE, "payload_too_large"),
-        (~sig_ok, STATUS_BAD_SIGNATURE, "invalid_signature"),
+        (~F.col("_sig_ok"), STATUS_BAD_SIGNATURE, "invalid_signature"),
         (~F.col("json_ok"), STATUS_BAD_REQUEST, "invalid_json"),
         (F.size("errors") > 0, STATUS_BAD_REQUEST, "invalid_crash_data"),
+        # C1-C6 (and C7/C8): a row the table refuses is an insert failure
+        (~table_ok(policy=policy, as_of=as_of), STATUS_INSERT_FAILED, "insert_rejected"),
     ]
     decision = None
     for cond, code, why in refused:
@@ -68,22 +72,14 @@ def admit(raw: DataFrame, *, secret: str | None, as_of=None,
                                            F.lit("accepted").alias("reason")))
     # The decision is emitted by a one-row generator: a later filter on
     # ``status`` stops at the Generate instead of being pushed into (and
-    # re-evaluating) the parse and rule expressions for every reference.
-    df = df.select(*RAW_COLUMNS, "retry_after", "errors",
-                   *[c for c in df.columns if c.startswith("in_")],
+    # re-evaluating) the parse, rule and sanitiser expressions.
+    df = df.select(*RAW_COLUMNS, "retry_after", "errors", *REPORT_COLUMNS,
                    F.inline(F.array(decision)))
     # later stages never ran for a refused request: their findings are cleared
-    df = df.withColumn("errors", F.when(F.col("reason") == "invalid_crash_data",
-                                        F.col("errors")).otherwise(
-                                            F.array().cast("array<string>")))
-    df = df.select(*RAW_COLUMNS, "status", "reason", "errors", "retry_after",
-                   *sanitized_columns(salt))
-    # C1-C6 (and C7/C8): a row the table refuses is an insert failure (500)
-    insert_failed = (F.col("status") == STATUS_ACCEPTED) & ~table_ok(policy=policy, as_of=as_of)
-    return (df.withColumn("reason", F.when(insert_failed, F.lit("insert_rejected"))
-                                     .otherwise(F.col("reason")))
-              .withColumn("status", F.when(insert_failed, F.lit(STATUS_INSERT_FAILED))
-                                     .otherwise(F.col("status"))))
+    errors = F.when(F.col("reason") == "invalid_crash_data", F.col("errors")) \
+              .otherwise(F.array().cast("array<string>"))
+    return df.select(*RAW_COLUMNS, "status", "reason", errors.alias("errors"),
+                     "retry_after", *REPORT_COLUMNS)
 
 
 def split(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
