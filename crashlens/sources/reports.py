@@ -13,14 +13,26 @@ from crashlens.session import by_partition, prepare
 
 def read_reports(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Raw request envelopes (S1): ``request_id, body, signature, client_ip,
-    arrived_at``.  ``fmt`` is ``json`` (JSON lines, explicit schema, no
-    inference) or ``parquet``.  Bodies stay text; parsing is part of admission
-    so malformed JSON becomes a quarantined row, not a failed job."""
+    arrived_at``.  ``fmt`` is ``json`` (JSON lines of envelopes, explicit
+    schema, no inference), ``parquet``, or ``bodies``: plain text files with
+    one report body per line (no signature or address; arrival time is the
+    file's modification time, the id a hash of file and line).  Bodies stay
+    text; parsing is part of admission so malformed JSON becomes a
+    quarantined row, not a failed job."""
     prepare(spark)
     if fmt == "json":
         return spark.read.schema(RAW_SCHEMA).option("mode", "PERMISSIVE").json(path)
     if fmt == "parquet":
         return spark.read.parquet(path).select(*[f.name for f in RAW_SCHEMA.fields])
+    if fmt == "bodies":
+        lines = spark.read.text(path).select("value", "_metadata")
+        return lines.select(
+            F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), F.col("value")), 256)
+             .alias("request_id"),
+            F.col("value").alias("body"),
+            F.lit(None).cast("string").alias("signature"),
+            F.lit(None).cast("string").alias("client_ip"),
+            F.col("_metadata.file_modification_time").alias("arrived_at"))
     raise ValueError(f"unsupported format: {fmt}")
 
 

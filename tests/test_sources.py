@@ -79,3 +79,18 @@ def test_batch_write_is_idempotent(spark, tmp_path):
     ingest_batch(raw.limit(10), root, 8, secret=FIXTURE_SECRET)
     acc2, _ = read_ingested(spark, root)
     assert acc2.count() == acc.count() + 10
+
+
+def test_read_plain_bodies(spark, tmp_path):
+    import os
+    good = json.dumps({"app_name": "demo", "app_version": "v1.0.0", "platform": "ios",
+                       "crash_timestamp": "2020-01-01T00:00:00Z"})
+    path = tmp_path / "bodies"
+    path.mkdir()
+    (path / "a.jsonl").write_text(good + "\n" + '{"app_name": \n')
+    os.utime(path / "a.jsonl", (1577840400, 1577840400))  # 2020-01-01T01:00:00Z
+    raw = read_reports(spark, str(path), "bodies")
+    assert raw.count() == 2
+    # accepted only because arrival (file time, 01:00) is within 24 h of the crash
+    out = {r.reason for r in admit(raw, secret=None, check_signature=False).collect()}
+    assert out == {"accepted", "invalid_json"}
