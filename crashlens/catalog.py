@@ -542,7 +542,8 @@ def _sanitize_documents(spark, d):
     """Z1-Z4 over every document text (whole texts, real dirty input)."""
     docs = read_table(spark, d, "documents")
     c = sanitize(F.col("text"))
-    return docs.select("doc_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
+    return docs.select("doc_id", F.length(c).cast("bigint").alias("clean_chars"),
+                       F.md5(c).alias("clean_md5"))
 
 
 @register("sanitize_pages", "SELECT page_id, length(c) AS clean_chars, md5(c) AS clean_md5 "
@@ -551,7 +552,8 @@ def _sanitize_pages(spark, d):
     """Z1-Z4 over every raw web page."""
     pages = read_table(spark, d, "pages")
     c = sanitize(F.col("html"))
-    return pages.select("page_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
+    return pages.select("page_id", F.length(c).cast("bigint").alias("clean_chars"),
+                        F.md5(c).alias("clean_md5"))
 
 
 @register("crash_analytics_rollup", q("SELECT * FROM crash_analytics", rollup=True))
