@@ -34,3 +34,17 @@ def test_entry_smoke(spark):
     assert df.columns == ["app_name", "app_version", "crashes", "affected_users",
                           "crashes_per_user"]
     assert df.count() > 0
+
+
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "TimestampNTZType()": "TIMESTAMP",
+                 "DateType()": "DATE", "BooleanType()": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith("stream")])
+def test_query_types_match_oracle(spark, con, name):
+    sdf = E.queries()[name](spark, SF)
+    got = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    want = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert got == want
