@@ -21,6 +21,7 @@ from crashlens.schema import (
 FIELDS = ["app_name", "app_version", "platform", "crash_timestamp",
           "error_message", "stack_trace", "hardware_specs", "user_id", "session_id"]
 NUMERIC = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
+BODY_VARIANTS = "struct<" + ", ".join(f"{f}: variant" for f in FIELDS) + ">"
 
 
 def _v(f: str) -> Column:
@@ -35,17 +36,22 @@ def _t(f: str) -> Column:
 
 def parse_body(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``doc`` (VARIANT, NULL when the body is not JSON) and, per field,
-    ``in_<f>`` (text value) and ``in_<f>__t`` (JSON type name)."""
+    ``in_<f>`` (text value) and ``in_<f>__t`` (JSON type name).
+
+    The object is read once into a struct of nine VARIANT fields (one key
+    lookup pass instead of one per field and use); a body that is JSON but
+    not an object gives NULL fields, so the presence rules reject it.
+    """
     out = df.withColumn("doc", F.try_parse_json(F.col(body)))
+    out = out.withColumn("_body", F.try_variant_get(F.col("doc"), "$", BODY_VARIANTS))
     cols = []
     for f in FIELDS:
-        path = f"$.{f}"
-        v = F.variant_get(F.col("doc"), path, "variant")
+        v = F.col(f"_body.{f}")
         cols.append(F.schema_of_variant(v).alias(f"in_{f}__t"))
         if f == "hardware_specs":
             cols.append(F.to_json(v).alias(f"in_{f}__json"))
-        cols.append(F.try_variant_get(F.col("doc"), path, "string").alias(f"in_{f}"))
-    return out.select("*", *cols)
+        cols.append(v.try_cast("string").alias(f"in_{f}"))
+    return out.select(*[c for c in out.columns if c != "_body"], *cols)
 
 
 def _is_str(f: str) -> Column:
