@@ -41,15 +41,21 @@ def hourly_rollup_stream(accepted: DataFrame, watermark: str = "10 minutes",
 
 
 def start_rollup(rollup: DataFrame, path: str, checkpoint: str,
-                 available_now: bool = True, on_batch=None):
-    """Write rollup updates per micro-batch (``batch_id`` partitions)."""
+                 available_now: bool = True, on_batch=None, output_mode: str = "update"):
+    """Write rollup cells per micro-batch (``batch_id`` partitions).
+
+    ``output_mode="update"`` writes every changed cell each batch (readers
+    take the newest, ``read_rollup``); ``"append"`` writes each cell once,
+    when the watermark has closed its hour, so the newest hours appear only
+    after later data moves the watermark past them.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         overwrite_partitions(batch.withColumn("batch_id", F.lit(batch_id)),
                              "batch_id").parquet(path)
         if on_batch is not None:
             on_batch(batch, batch_id)
 
-    writer = (rollup.writeStream.outputMode("update").foreachBatch(write)
+    writer = (rollup.writeStream.outputMode(output_mode).foreachBatch(write)
                     .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

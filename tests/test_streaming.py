@@ -44,3 +44,22 @@ def test_dedup_stream_drops_replays(spark, tmp_path):
          .start())
     q.awaitTermination()
     assert spark.sql("SELECT count(*) AS n FROM dedup_out").first().n == raw.count()
+
+
+def test_rollup_append_mode_emits_closed_hours_only(spark, tmp_path):
+    acc, _ = split(admit(raw_envelopes(spark, SF_SMALL), secret=FIXTURE_SECRET))
+    src = str(tmp_path / "acc")
+    acc.drop("hw").write.parquet(src)
+    static = spark.read.parquet(src)
+    stream = spark.readStream.schema(static.schema).parquet(src)
+    q = start_rollup(hourly_rollup_stream(stream, sketch=False), str(tmp_path / "rollup"),
+                     str(tmp_path / "ck"), output_mode="append")
+    q.awaitTermination()
+    got = read_rollup(spark, str(tmp_path / "rollup"))
+    want = hourly_rollup(static)
+    key = ["app_name", "app_version", "platform", "hour", "crash_count"]
+    got_rows = set(got.select(*key).collect())
+    assert got_rows and got_rows <= set(want.select(*key).collect())
+    # the newest hour is still open (no later data moved the watermark past it)
+    newest = want.agg(F.max("hour")).first()[0]
+    assert got.where(F.col("hour") == newest).count() == 0
