@@ -108,7 +108,8 @@ def write_batch(accepted: DataFrame, quarantine: DataFrame, root: str,
                          "batch_id").parquet(f"{root.rstrip('/')}/quarantine")
 
 
-def write_admitted(admitted: DataFrame, root: str, batch_id: int | str) -> None:
+def write_admitted(admitted: DataFrame, root: str, batch_id: int | str,
+                   files_per_date: int | None = None) -> None:
     """Split an admitted batch and write both sides, computing it once.
 
     The batch is persisted (memory and disk) for the two writes and released
@@ -119,7 +120,7 @@ def write_admitted(admitted: DataFrame, root: str, batch_id: int | str) -> None:
     admitted = admitted.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         accepted, quarantine = split(admitted)
-        write_batch(accepted, quarantine, root, batch_id)
+        write_batch(accepted, quarantine, root, batch_id, files_per_date)
     finally:
         admitted.unpersist()
 

@@ -46,19 +46,23 @@ def admit_stream(stream: DataFrame, *, secret: str | None,
 
 def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str | None,
                  limit_per_minute: int | None = RATE_LIMIT_PER_MINUTE,
-                 available_now: bool = True, limiter: str = "ledger", **kw):
+                 available_now: bool = True, limiter: str = "ledger",
+                 files_per_date: int | None = None, **kw):
     """Admit a stream and write accepted / quarantine per micro-batch.
 
     ``limiter="ledger"`` (default) rate-limits each micro-batch with the
     skew-safe batch operator and a ledger of earlier batches' counts
     (``ledger_prior`` / ``record_admitted``, no Python); ``limiter="state"`` uses the
     stateful ``applyInPandasWithState`` limiter inside the stream.
+    ``files_per_date`` spreads each arrival date of a batch over that many
+    writer tasks (for backfills whose batches span many days); by default a
+    task writes one file per date it holds.
     """
     if limiter == "state" or limit_per_minute is None:
         admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, **kw)
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            write_admitted(batch, root, batch_id)
+            write_admitted(batch, root, batch_id, files_per_date)
     elif limiter == "ledger":
         admitted = stream
         ledger = f"{root.rstrip('/')}/_limiter_ledger"
@@ -73,7 +77,7 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
                 admitted = admit(limited, secret=secret, precomputed_limit=True, **kw)
                 admitted = admitted.persist(StorageLevel.MEMORY_AND_DISK)
                 accepted, quarantine = split(admitted)
-                write_batch(accepted, quarantine, root, batch_id)
+                write_batch(accepted, quarantine, root, batch_id, files_per_date)
                 record_admitted(admitted.where(F.col("status") != STATUS_RATE_LIMITED),
                                 ledger, batch_id)
                 admitted.unpersist()
