@@ -26,8 +26,15 @@ def _n():
 GB = 1_000_000_000
 
 
-def _users():
-    return F.count_distinct("ip_hash")
+def _distinct(col, approx: bool = False):
+    """Exact distinct count, or a HyperLogLog++ estimate (about 1% error)
+    that aggregates map-side without expanding rows per distinct column."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.approx_count_distinct(col) if approx else F.count_distinct(col)
+
+
+def _users(approx: bool = False):
+    return _distinct("ip_hash", approx)
 
 
 def _avg_gb(col):
@@ -76,10 +83,10 @@ def by_cpu_cores(df: DataFrame) -> DataFrame:
 
 
 def by_gpu(df: DataFrame, *, as_of, days: float = 7,
-           with_memory: bool = True) -> DataFrame:
+           with_memory: bool = True, approx: bool = False) -> DataFrame:
     """Q13 (``with_memory``) / R04: crashes, users and apps per GPU."""
-    aggs = [_n().alias("crashes_7d"), _users().alias("unique_users_7d"),
-            F.count_distinct("app_name").alias("affected_apps")]
+    aggs = [_n().alias("crashes_7d"), _users(approx).alias("unique_users_7d"),
+            _distinct("app_name", approx).alias("affected_apps")]
     if with_memory:
         aggs.append(_avg_gb(hw_bigint("gpu.memory")).alias("avg_gpu_memory_gb"))
     return (_week(df, as_of, days)
@@ -118,15 +125,16 @@ def by_memory_range(df: DataFrame, *, as_of, days: float = 7,
             .orderBy(F.desc("crashes_7d"), "memory_range"))
 
 
-def by_os_version(df: DataFrame, *, as_of, days: float = 7) -> DataFrame:
+def by_os_version(df: DataFrame, *, as_of, days: float = 7,
+                  approx: bool = False) -> DataFrame:
     """Q16: system, version and release; a NULL part is its own group."""
     return (_week(df, as_of, days)
             .where(_system().isNotNull())
             .groupBy(_system().alias("os"),
                      F.col("hw.platform.version").alias("os_version"),
                      F.col("hw.platform.release").alias("os_release"))
-            .agg(_n().alias("crashes_7d"), _users().alias("unique_users_7d"),
-                 F.count_distinct("app_name").alias("affected_apps"))
+            .agg(_n().alias("crashes_7d"), _users(approx).alias("unique_users_7d"),
+                 _distinct("app_name", approx).alias("affected_apps"))
             .orderBy(F.desc("crashes_7d"), "os", "os_version", "os_release"))
 
 
@@ -164,7 +172,7 @@ def hardware_daily(df: DataFrame, *, as_of, days: float = 7,
     one pass.
     """
     def distinct(c):
-        return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+        return _distinct(c, approx)
     return (_week(df, as_of, days)
             .where(_system().isNotNull())
             .groupBy(F.to_date("created_at").alias("crash_date"), _system().alias("os"))
@@ -199,14 +207,14 @@ def low_resource(df: DataFrame, *, as_of, days: float = 7,
 
 
 def high_end(df: DataFrame, *, as_of, days: float = 7,
-             more_than: int = 2) -> DataFrame:
+             more_than: int = 2, approx: bool = False) -> DataFrame:
     """Q20: >= 12 cores and >= 32 GB, apps with more than ``more_than``."""
     return (_week(df, as_of, days)
             .where((hw_int("cpu.cores") >= 12) & (_mem_total() >= 32 * GB))
             .groupBy("app_name")
-            .agg(_n().alias("crashes_7d"), _users().alias("affected_users"),
+            .agg(_n().alias("crashes_7d"), _users(approx).alias("affected_users"),
                  F.avg(hw_int("cpu.cores")).alias("avg_cpu_cores"),
                  _avg_gb(_mem_total()).alias("avg_memory_gb"),
-                 F.count_distinct(F.col("hw.gpu.name")).alias("unique_gpus"))
+                 _distinct(F.col("hw.gpu.name"), approx).alias("unique_gpus"))
             .where(F.col("crashes_7d") > more_than)
             .orderBy(F.desc("crashes_7d"), "app_name"))

@@ -88,3 +88,11 @@ def test_refresh_rollup_partitions(spark, reports, tmp_path):
     refresh_rollup(reports, path, dates=["2024-01-30"])
     again = read_rollup_table(spark, path)
     assert sorted(again.drop("hour_date").collect()) == before
+
+
+def test_approx_options_close_to_exact(reports):
+    for fn, key in ((P.by_gpu, "gpu_name"), (P.by_os_version, "os")):
+        exact = {r[key]: r.unique_users_7d for r in fn(reports, as_of=AS_OF).collect()}
+        approx = {r[key]: r.unique_users_7d for r in fn(reports, as_of=AS_OF, approx=True).collect()}
+        assert exact.keys() == approx.keys()
+        assert all(abs(approx[k] - v) <= max(1, 0.05 * v) for k, v in exact.items())
