@@ -109,7 +109,7 @@ def write_batch(accepted: DataFrame, quarantine: DataFrame, root: str,
 
 
 def write_admitted(admitted: DataFrame, root: str, batch_id: int | str,
-                   files_per_date: int | None = None) -> None:
+                   files_per_date: int | None = None, rollup_path: str | None = None) -> None:
     """Split an admitted batch and write both sides, computing it once.
 
     The batch is persisted (memory and disk) for the two writes and released
@@ -121,6 +121,9 @@ def write_admitted(admitted: DataFrame, root: str, batch_id: int | str,
     try:
         accepted, quarantine = split(admitted)
         write_batch(accepted, quarantine, root, batch_id, files_per_date)
+        if rollup_path is not None:
+            from crashlens.streaming.rollup import write_rollup_partial
+            write_rollup_partial(accepted, rollup_path, batch_id)
     finally:
         admitted.unpersist()
 

@@ -5,11 +5,12 @@ from crashlens.streaming.ingest import (
 )
 from crashlens.streaming.limiter import limit_micro_batch, rate_limit_stream
 from crashlens.streaming.rollup import (
-    hourly_rollup_stream, read_rollup, spike_alerts, start_rollup,
+    hourly_rollup_stream, read_rollup, read_rollup_sums, spike_alerts, start_rollup,
+    write_rollup_partial,
 )
 
 __all__ = [
     "admit_stream", "dedup_stream", "read_ingested", "read_report_stream",
     "start_ingest", "rate_limit_stream", "limit_micro_batch", "hourly_rollup_stream", "read_rollup",
-    "spike_alerts", "start_rollup",
+    "spike_alerts", "start_rollup", "read_rollup_sums", "write_rollup_partial",
 ]

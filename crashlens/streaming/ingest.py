@@ -22,6 +22,7 @@ from crashlens.schema import (
 )
 from crashlens.session import prepare
 from crashlens.streaming.limiter import ledger_prior, rate_limit_stream, record_admitted
+from crashlens.streaming.rollup import write_rollup_partial
 
 
 def read_report_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -47,7 +48,7 @@ def admit_stream(stream: DataFrame, *, secret: str | None,
 def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str | None,
                  limit_per_minute: int | None = RATE_LIMIT_PER_MINUTE,
                  available_now: bool = True, limiter: str = "ledger",
-                 files_per_date: int | None = None, **kw):
+                 files_per_date: int | None = None, rollup_path: str | None = None, **kw):
     """Admit a stream and write accepted / quarantine per micro-batch.
 
     ``limiter="ledger"`` (default) rate-limits each micro-batch with the
@@ -56,13 +57,15 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
     stateful ``applyInPandasWithState`` limiter inside the stream.
     ``files_per_date`` spreads each arrival date of a batch over that many
     writer tasks (for backfills whose batches span many days); by default a
-    task writes one file per date it holds.
+    task writes one file per date it holds.  With ``rollup_path`` each
+    batch also writes its partial hourly rollup cells there
+    (``read_rollup_sums`` adds them up).
     """
     if limiter == "state" or limit_per_minute is None:
         admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, **kw)
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            write_admitted(batch, root, batch_id, files_per_date)
+            write_admitted(batch, root, batch_id, files_per_date, rollup_path)
     elif limiter == "ledger":
         admitted = stream
         ledger = f"{root.rstrip('/')}/_limiter_ledger"
@@ -78,6 +81,8 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
                 admitted = admitted.persist(StorageLevel.MEMORY_AND_DISK)
                 accepted, quarantine = split(admitted)
                 write_batch(accepted, quarantine, root, batch_id, files_per_date)
+                if rollup_path is not None:
+                    write_rollup_partial(accepted, rollup_path, batch_id)
                 record_admitted(admitted.where(F.col("status") != STATUS_RATE_LIMITED),
                                 ledger, batch_id)
                 admitted.unpersist()

@@ -104,3 +104,23 @@ def spike_alerts(baseline: DataFrame, path: str, *, as_of, k: float = 2.0,
         overwrite_partitions(flagged, "batch_id").parquet(path)
 
     return callback
+
+
+def write_rollup_partial(accepted: DataFrame, path: str, batch_id: int) -> None:
+    """Per-batch partial rollup cells of accepted rows (``batch_id``
+    partition, dynamic overwrite).  Counts are additive, so the rollup of
+    all batches is the per-cell sum of these partials (``read_rollup_sums``):
+    an exact hourly rollup from the ingest stream itself, with no state
+    store and nothing held back by a watermark."""
+    from crashlens.operators.rollup import hourly_rollup
+
+    overwrite_partitions(hourly_rollup(accepted).withColumn("batch_id", F.lit(batch_id)),
+                         "batch_id").parquet(path)
+
+
+def read_rollup_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Rollup from per-batch partials: one grouped sum per cell."""
+    key = ["app_name", "app_version", "platform", "hour"]
+    return (spark.read.parquet(path).groupBy(*key)
+                 .agg(F.sum("crash_count").cast("bigint").alias("crash_count"),
+                      F.sum("unique_users").cast("bigint").alias("unique_users")))

@@ -63,3 +63,19 @@ def test_rollup_append_mode_emits_closed_hours_only(spark, tmp_path):
     # the newest hour is still open (no later data moved the watermark past it)
     newest = want.agg(F.max("hour")).first()[0]
     assert got.where(F.col("hour") == newest).count() == 0
+
+
+def test_ingest_stream_partial_rollup_equals_batch(spark, tmp_path):
+    from crashlens.sources import landing_zone
+    from crashlens.streaming import read_ingested, read_report_stream, read_rollup_sums, start_ingest
+    land = landing_zone(spark, SF_SMALL)
+    q = start_ingest(read_report_stream(spark, land, max_files_per_trigger=2),
+                     str(tmp_path / "out"), str(tmp_path / "ck"), secret=FIXTURE_SECRET,
+                     limit_per_minute=2, rollup_path=str(tmp_path / "rollup"))
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 2
+    accepted, _ = read_ingested(spark, str(tmp_path / "out"))
+    key = ["app_name", "app_version", "platform", "hour", "crash_count"]
+    got = read_rollup_sums(spark, str(tmp_path / "rollup")).select(*key).collect()
+    want = hourly_rollup(accepted).select(*key).collect()
+    assert sorted(got) == sorted(want)
