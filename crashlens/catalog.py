@@ -25,11 +25,11 @@ from crashlens.schema import (
 )
 from crashlens.session import checkpoint_dir
 from crashlens.sources.fixture import (
-    AS_OF, FIXTURE_SECRET, crash_table, landing_zone, raw_envelopes, read_table,
+    AS_OF, FIXTURE_SECRET, crash_table, landing_zone, materialized, raw_envelopes, read_table,
 )
 from crashlens.sources.reports import flatten_for_export, replay_fallback
 from crashlens.streaming import (
-    hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
+    dedup_stream, hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
     start_ingest, start_rollup,
 )
 
@@ -637,3 +637,18 @@ def _stream_hourly_rollup(spark, d):
     q2.awaitTermination()
     return (read_rollup(spark, f"{root}/rollup")
             .withColumn("hour", F.col("hour").cast("timestamp_ntz")))
+
+
+@register("stream_dedup_replays",
+          "SELECT CAST(event_id AS VARCHAR) AS request_id FROM events")
+def _stream_dedup(spark, d):
+    """Every envelope arrives twice (a replayed fallback copy); the stream
+    keeps one per request id within the 24-hour watermark."""
+    replayed = materialized(spark, d, "landing-replayed",
+                            lambda: raw_envelopes(spark, d).unionByName(raw_envelopes(spark, d)))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/dedup-{uuid.uuid4().hex}"
+    q = (dedup_stream(read_report_stream(spark, replayed)).select("request_id")
+         .writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("request_id string").parquet(f"{root}/out")
