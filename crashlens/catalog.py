@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlens import plans as P
@@ -25,12 +25,13 @@ from crashlens.schema import (
 )
 from crashlens.session import checkpoint_dir
 from crashlens.sources.fixture import (
-    AS_OF, FIXTURE_SECRET, crash_table, landing_zone, materialized, raw_envelopes, read_table,
+    AS_OF, FIXTURE_SECRET, crash_table, crash_table_path, landing_zone, materialized,
+    raw_envelopes, read_table,
 )
 from crashlens.sources.reports import flatten_for_export, replay_fallback
 from crashlens.streaming import (
     dedup_stream, hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
-    start_ingest, start_rollup,
+    spike_alerts, start_ingest, start_rollup,
 )
 
 APP = "app-1"
@@ -652,3 +653,32 @@ def _stream_dedup(spark, d):
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema("request_id string").parquet(f"{root}/out")
+
+
+@register("stream_spike_alerts", q(ctes=f"""
+stats AS (
+  SELECT app_name, AVG(crash_count) AS a, STDDEV_SAMP(crash_count) AS sd
+  FROM crash_analytics WHERE hour > {ts(days=7)} GROUP BY app_name)""", rollup=True, body="""
+SELECT c.app_name, c.app_version, c.platform, c.hour, c.crash_count AS recent_crashes,
+       s.a AS avg_crashes, ROUND((c.crash_count - s.a) / NULLIF(s.sd, 0), 2) AS z_score
+FROM crash_analytics c JOIN stats s ON c.app_name = s.app_name
+WHERE c.crash_count > s.a + 2 * s.sd"""))
+def _stream_spike_alerts(spark, d):
+    """The fact table streamed through the hourly rollup; each micro-batch's
+    cells are checked against the 7-day per-app baseline of the batch rollup."""
+    facts = crash_table(spark, d)
+    path = crash_table_path(spark, d)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/alerts-{uuid.uuid4().hex}"
+    stream = (spark.readStream.schema(facts.schema).parquet(path)
+              .withColumn("created_at", F.col("created_at").cast("timestamp")))
+    callback = spike_alerts(hourly_rollup(facts), f"{root}/alerts", as_of=AS_OF, k=2.0)
+    q1 = start_rollup(hourly_rollup_stream(stream, sketch=False), f"{root}/rollup",
+                      f"{root}/ck", on_batch=callback)
+    q1.awaitTermination()
+    alerts = spark.read.parquet(f"{root}/alerts")
+    key = ["app_name", "app_version", "platform", "hour"]
+    newest = Window.partitionBy(*key).orderBy(F.desc("batch_id"))
+    return (alerts.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") == 1)
+                  .select("app_name", "app_version", "platform",
+                          F.col("hour").cast("timestamp_ntz").alias("hour"),
+                          "recent_crashes", "avg_crashes", "z_score"))

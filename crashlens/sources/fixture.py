@@ -206,14 +206,19 @@ def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     from crashlens.sources.reports import crash_reports
 
-    path = materialized(spark, sf_dir, "facts",
-                        lambda: derived_crash_table(spark, sf_dir), "created_date")
+    path = crash_table_path(spark, sf_dir)
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
         _TABLES[key] = crash_reports(spark, path)
     return _TABLES[key]
 
 
+def crash_table_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored fact table (written on first use)."""
+    return materialized(spark, sf_dir, "facts",
+                        lambda: derived_crash_table(spark, sf_dir), "created_date")
+
+
 def landing_zone(spark: SparkSession, sf_dir: str,
                  secret: str = FIXTURE_SECRET) -> str:
     """Folder of signed raw envelopes (Parquet), as a collector would land
