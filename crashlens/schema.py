@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 # FIXED VALUES (must equal the original service for identical results)
 # ---------------------------------------------------------------------------
 PLATFORMS = ("windows", "linux", "macos", "android", "ios")
+# OS identifier -> report platform: the union of both client libraries' maps
+# (one maps win32/darwin/linux/android/ios, the other also lower-case windows)
 PLATFORM_ALIASES = {
     "win32": "windows",
     "darwin": "macos",
