@@ -603,11 +603,12 @@ def _replay(spark, d):
 # batch = stream.
 
 
-def _stream_run(spark, d):
+def _stream_run(spark, d, limiter="ledger"):
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     landing = landing_zone(spark, d)
     q1 = start_ingest(read_report_stream(spark, landing), f"{root}/tables",
-                      f"{root}/ck-ingest", secret=FIXTURE_SECRET, limit_per_minute=BURST_LIMIT)
+                      f"{root}/ck-ingest", secret=FIXTURE_SECRET, limit_per_minute=BURST_LIMIT,
+                      limiter=limiter)
     q1.awaitTermination()
     accepted, quarantine = read_ingested(spark, f"{root}/tables")
     return root, accepted, quarantine
@@ -616,14 +617,24 @@ def _stream_run(spark, d):
 @register("stream_ingest_status", q(ctes=_ADMIT_CTE, body=
     "SELECT status, reason, COUNT(*) AS n FROM decided GROUP BY status, reason"))
 def _stream_ingest_status(spark, d):
-    """X1-X3 + X6: streaming admission with the stateful limiter."""
-    _, accepted, quarantine = _stream_run(spark, d)
+    """X1-X3 + X6: streaming admission, ledger limiter per micro-batch."""
+    return _stream_status(*_stream_run(spark, d)[1:])
+
+
+def _stream_status(accepted, quarantine):
     counts = quarantine.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
     ok = accepted.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(200).alias("status"), F.lit("accepted").alias("reason"), "n")
     return counts.unionByName(ok).where(F.col("n") > 0)
 
 
+@register("stream_ingest_status_state_limiter", q(ctes=_ADMIT_CTE, body=
+    "SELECT status, reason, COUNT(*) AS n FROM decided GROUP BY status, reason"))
+def _stream_ingest_status_state(spark, d):
+    """X6 as streaming state: the applyInPandasWithState limiter inside the stream."""
+    return _stream_status(*_stream_run(spark, d, limiter="state")[1:])
+
+
 @register("stream_hourly_rollup", q(ctes=_ADMIT_CTE, body="""
 SELECT app_name, app_version, platform, date_trunc('hour', created_at) AS hour,
        COUNT(*) AS crash_count, COUNT(*) AS unique_users
