@@ -31,7 +31,7 @@ from crashlens.sources.fixture import (
 from crashlens.sources.reports import flatten_for_export, replay_fallback
 from crashlens.streaming import (
     dedup_stream, hourly_rollup_stream, read_ingested, read_report_stream, read_rollup,
-    spike_alerts, start_ingest, start_rollup,
+    read_rollup_sums, spike_alerts, start_ingest, start_rollup,
 )
 
 APP = "app-1"
@@ -693,3 +693,21 @@ def _stream_spike_alerts(spark, d):
                   .select("app_name", "app_version", "platform",
                           F.col("hour").cast("timestamp_ntz").alias("hour"),
                           "recent_crashes", "avg_crashes", "z_score"))
+
+
+@register("stream_rollup_partials", q(ctes=_ADMIT_CTE, body="""
+SELECT app_name, app_version, platform, date_trunc('hour', created_at) AS hour,
+       COUNT(*) AS crash_count, COUNT(*) AS unique_users
+FROM decided WHERE status = 200 GROUP BY 1, 2, 3, 4"""))
+def _stream_rollup_partials(spark, d):
+    """X4 without a state store: the ingest stream writes each micro-batch's
+    partial rollup cells, which one grouped sum turns into the rollup."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/partials-{uuid.uuid4().hex}"
+    # one micro-batch: the landing files are not in arrival order, and the
+    # limiter admits in stream order, which the batch oracle does not model
+    q1 = start_ingest(read_report_stream(spark, landing_zone(spark, d)),
+                      f"{root}/tables", f"{root}/ck", secret=FIXTURE_SECRET,
+                      limit_per_minute=BURST_LIMIT, rollup_path=f"{root}/rollup")
+    q1.awaitTermination()
+    return (read_rollup_sums(spark, f"{root}/rollup")
+            .withColumn("hour", F.col("hour").cast("timestamp_ntz")))
