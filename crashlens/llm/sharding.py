@@ -31,10 +31,8 @@ def byte_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", tex
         F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"),
         F.crc32(text.cast("binary")).alias("_crc"), *([F.struct(*carry).alias("row")] if carry else []))
     placed = prefix_sums(rows, ["_id", "_crc", "_size"], {"_size": "_start"}, scratch, "rows")
-    total = scratch.spark.read.parquet(f"{scratch.root}/rows").agg(F.sum("_size").alias("_total"))
-    cut = placed.crossJoin(F.broadcast(total)).withColumn(  # one row
-        "_shard", F.expr(f"(2 * _start + _size) * {n_shards} div (2 * _total)").cast("int"))
-    cut = scratch.save(cut.drop("_total"), "cut")
+    cut = placed.withColumn("_shard", F.expr(f"(2 * _start + _size) * {n_shards} div (2 * _start_total)").cast("int"))
+    cut = scratch.save(cut.drop("_start_total"), "cut")
     firsts = cut.groupBy("_shard").agg(F.min("position").alias("_first"))  # one row a shard
     return cut.join(F.broadcast(firsts), "_shard").select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
