@@ -6,10 +6,11 @@ differing minimum; enumerating the allowed error (each of the four places left o
 turns that into equality of one of ``4 * CHUNKS`` keys, so every such pair meets.  Sets
 with a similarity of 0.75 miss all keys with probability 3e-8.
 
-Pairs in a bucket are never all listed.  Rounds compare each member with one hub of its
-bucket and join what is linked into components; then only members outside a bucket's
-largest component meet the members of other components.  Links are confirmed on
-the full shingle sets.
+Pairs in a bucket are never all listed.  In each round a node is compared with one hub of
+another component, the one that it meets in most buckets, and what is linked becomes one
+component; then only members outside a bucket's largest component meet the members
+of other components, each pair in the first bucket that it shares.  Links are confirmed
+on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,12 +29,17 @@ SHINGLE = 5
 CHUNKS = 13
 LANES, LANE_BITS, VALUE_BITS = 4, 15, 14
 #: Pairs that differ in more minima than this are not checked on their sets; at a similarity
-#: of 0.75 (mean 13, deviation 3.1) that happens with probability 1e-10.
-FAR = 34
+#: of 0.75 (mean 13, deviation 3.1) that happens with probability 2e-7.
+FAR = 30
+#: Where many near but unlinked documents meet, one-bit minima of the full sets come before the
+#: check: at 0.75 one in eight differs (mean 128, deviation 10.6); over FAR_BITS do so with
+#: probability 4e-6.
+BITS, FAR_BITS = 1024, 176
 BROADCAST_ROWS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * LANES + 1, dtype=np.uint64))
 _FACTOR, _SHIFT = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
+_BIT_FACTOR = mix(np.arange(1_000_001, 1_000_001 + BITS, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +98,19 @@ def shingle_set(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts)
 
 
+@F.arrow_udf(LONGS)
+def bit_signature(sets: pa.Array) -> pa.Array:
+    """One-bit minima of each row's set, packed into longs."""
+    n = len(sets)
+    value, offset = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
+    at = offset[:-1] - offset[0]
+    packed = np.zeros((n, BITS // 64), np.uint64)
+    for i in range(BITS if n else 0):
+        least = np.minimum.reduceat(value * _BIT_FACTOR[i], at)
+        packed[:, i // 64] |= (mix(least) >> np.uint64(63)) << np.uint64(i % 64)
+    return lists(longs(packed.ravel()), np.arange(n + 1) * (BITS // 64))
+
+
 def index_keys(sig: str) -> Column:
     """The ``4 * CHUNKS`` keys: chunk number, place left out, the other three minima."""
     keys = []
@@ -116,6 +135,20 @@ def differing(a: str, b: str) -> Column:
     return total
 
 
+def first_shared(key: str, a: str, b: str) -> Column:
+    """Whether ``key``, an index key of both signatures, is the first such one: of the first chunk
+    with at most one differing minimum, and of its places the first, or the differing one."""
+    lane = sum(1 << LANE_BITS * i for i in range(LANES))
+    low, high = lane * ((1 << VALUE_BITS) - 1), lane << VALUE_BITS
+    tag = F.shiftright(key, LANE_BITS * (LANES - 1))
+    out = F.lit(False)
+    for c in reversed(range(CHUNKS)):
+        off = F.bit_count((F.col(a)[c].bitwiseXOR(F.col(b)[c]) + F.lit(low)).bitwiseAND(F.lit(high)))
+        own = (tag == c * LANES) | ((off == 1) & (tag > c * LANES) & (tag < (c + 1) * LANES))
+        out = F.when(off <= 1, own).otherwise(out)
+    return out
+
+
 def _alike(a: str, b: str) -> Column:
     """May link: sizes allow a similarity of 0.75 and the signatures are near."""
     small, large = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
@@ -175,14 +208,15 @@ class _Join:
         return out
 
     def hub_pairs(self, seed: int) -> DataFrame:
-        """Each member with its bucket's hub, if they are in different components."""
+        """Each node with the hub of another component that most of its buckets have."""
         m = self._labelled()
         rank = F.col("node") if seed == 0 else F.xxhash64(F.lit(seed), "node")
         hubs = m.groupBy("key").agg(
             F.min(F.struct(rank.alias("r"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"),
             F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "h.hub", "h.hub_comp")
-        return (m.join(hubs, "key").where("comp <> hub_comp")
-                .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+        met = m.join(hubs, "key").where("comp <> hub_comp").groupBy("node", "hub").agg(F.count("*").alias("c"))
+        best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("h"))
+        return best.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
 
     def other_pairs(self) -> DataFrame:
         """Members outside their bucket's largest component with those of other components."""
@@ -190,23 +224,35 @@ class _Join:
         sizes = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
         main = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"))
                 .where("parts > 1").select("key", "main"))
-        m = self.scratch.save(m.join(main, "key").join(self.signed, "node"), "others")
+        m = self.scratch.save(m.join(main, "key"), "others")
+        m = m.join(self.signed.join(self._bits(m), "node"), "node")
         a = m.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"),
-                                           F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+                                           F.col("n").alias("n_a"), F.col("sig").alias("sig_a"), F.col("bits").alias("bits_a"))
         b = m.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main",
-                     F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+                     F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("bits").alias("bits_b"))
         once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
-        return (a.join(b, (a["key"] == b["key"]) & (F.col("comp_a") != F.col("comp_b")) & once & _alike("a", "b"))
+        first = first_shared("key", "sig_a", "sig_b")
+        near = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0)) <= FAR_BITS
+        return (a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b"))
+                       & once & _alike("a", "b") & first & near)
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
+    def _bits(self, m: DataFrame) -> DataFrame:
+        """(node, bits) of all nodes in ``m``."""
+        nodes = m.select("node").distinct()
+        self._add_sets(nodes, "rest-bits")
+        if not self.sets:
+            return nodes.withColumn("bits", F.lit(None).cast(LONGS))
+        own = self._union(self.sets).join(nodes, "node", "left_semi")
+        return self.scratch.save(own.select("node", bit_signature("s").alias("bits")), "bits")
+
     def _near(self, pairs: DataFrame) -> DataFrame:
         a = self.signed.toDF("a", "n_a", "sig_a")
         b = self.signed.toDF("b", "n_b", "sig_b")
         return pairs.join(a, "a").join(b, "b").where(_alike("a", "b")).select("a", "b", "n_a", "n_b")
 
-    def _add_sets(self, pairs: DataFrame, name: str) -> None:
-        """Compute the sets of the pairs' nodes that earlier rounds have not made."""
-        need = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    def _add_sets(self, need: DataFrame, name: str) -> None:
+        """Compute the sets of the nodes in ``need`` that earlier rounds have not made."""
         if self.sets:
             need = need.join(self._union(self.sets).select("node"), "node", "left_anti")
         need = self.scratch.save(need.join(self.nodes.select("node", "id", "t"), "node"), f"{name}-need")
@@ -224,7 +270,7 @@ class _Join:
             pairs = pairs.join(self._union(self.tested), ["a", "b"], "left_anti")
         pairs = self.scratch.save(self._near(pairs), f"{name}-pairs")
         self.tested.append(pairs.select("a", "b"))
-        self._add_sets(pairs, name)
+        self._add_sets(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), name)
         if not self.sets:
             return 0
         sets = self._union(self.sets)
@@ -246,7 +292,7 @@ class _Join:
         return self.labels
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text",
+def near_duplicates(docs: DataFrame, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text",
                     keep_row: bool = False) -> DataFrame:
     """Groups of documents linked by a shingle-set similarity of 0.75 or more.
 
