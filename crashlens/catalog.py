@@ -644,7 +644,7 @@ def _stream_hourly_rollup(spark, d):
     root, _, _ = _stream_run(spark, d)
     acc = spark.read.parquet(f"{root}/tables/crash_reports")
     stream = spark.readStream.schema(acc.schema).parquet(f"{root}/tables/crash_reports")
-    q2 = start_rollup(hourly_rollup_stream(stream, sketch=False), f"{root}/rollup",
+    q2 = start_rollup(hourly_rollup_stream(stream, watermark=None, sketch=False), f"{root}/rollup",
                       f"{root}/ck-rollup")
     q2.awaitTermination()
     return (read_rollup(spark, f"{root}/rollup")
@@ -683,7 +683,7 @@ def _stream_spike_alerts(spark, d):
     stream = (spark.readStream.schema(facts.schema).parquet(path)
               .withColumn("created_at", F.col("created_at").cast("timestamp")))
     callback = spike_alerts(hourly_rollup(facts), f"{root}/alerts", as_of=AS_OF, k=2.0)
-    q1 = start_rollup(hourly_rollup_stream(stream, sketch=False), f"{root}/rollup",
+    q1 = start_rollup(hourly_rollup_stream(stream, watermark=None, sketch=False), f"{root}/rollup",
                       f"{root}/ck", on_batch=callback)
     q1.awaitTermination()
     alerts = spark.read.parquet(f"{root}/alerts")

@@ -25,7 +25,8 @@ def _half_up(num: Column, den: Column, digits: int) -> Column:
     d = den.cast(_DEC)
     whole = (n + d).cast(_DEC)
     two_d = (d * F.lit(2).cast(_DEC)).cast(_DEC)
-    return F.when(d != 0, _floor_div(whole, two_d).cast("double") / F.lit(float(p)))
+    # the quotient by 10^digits stays decimal (scale 6 at least), so the cast to double is the only rounding
+    return F.when(d != 0, (_floor_div(whole, two_d) / F.lit(p).cast(_DEC)).cast("double"))
 
 
 def round_ratio(num: Column, den: Column, digits: int = 2,

@@ -34,43 +34,48 @@ def rate_limit(df: DataFrame, *, key: str = "client_ip", ts: str = "arrived_at",
 
     Exact and skew-safe: no task ever holds a whole (client, minute) group.
 
-    1. Each group's cut-off is the largest ``(ts, tiebreak)`` among its
-       first ``quota`` requests.  The ranked filter ``row_number() <= limit``
-       runs as a per-task top-``limit`` before the shuffle
-       (WindowGroupLimit), so a flooding client sends at most ``limit`` rows
-       per map task; a group with at most ``quota`` requests gets its own
-       maximum as cut-off and limits nobody.
-    2. Rows are compared with their group's cut-off after a join with the
-       one-row-per-group table; AQE splits a skewed partition of the big
-       side (left outer join) or broadcasts the cut-offs when small.
+    1. Rows have a total order: time, tie-break (NULLs last), then a row number
+       given once, so equal rows and NULLs are counted one by one.
+    2. A group's cut-off is its request number ``quota``.  The ranked filter
+       runs as a per-task top-``limit`` before the shuffle (WindowGroupLimit), so
+       a flooding client sends at most ``limit`` rows per map task.
+    3. Only groups that reach the limit have a cut-off, and groups whose places
+       are all taken come from ``prior``; both tables are small unless most
+       clients flood, and AQE broadcasts them by measured size or splits a skewed join.
     """
+    no_time = F.timestamp_seconds(F.lit(0))  # window of requests without a time
     keyed = (df.withColumn("_rl_key", client_key(F.col(key)))
-               .withColumn("_rl_minute", F.date_trunc("minute", F.col(ts))))
+               .withColumn("_rl_minute", F.coalesce(F.date_trunc("minute", F.col(ts)), no_time))
+               .withColumn("_rl_at", F.struct(F.col(ts).isNull().alias("no_ts"), F.col(ts).alias("ts"),
+                                              F.col(tiebreak).isNull().alias("no_tb"), F.col(tiebreak).alias("tb"),
+                                              F.monotonically_increasing_id().alias("row"))))
     groups = ["_rl_key", "_rl_minute"]
-    order = Window.partitionBy(*groups).orderBy(F.col(ts), F.col(tiebreak))
-    ranked = (keyed.select(*groups, F.col(ts).alias("_rl_ts"), F.col(tiebreak).alias("_rl_tb"),
-                           F.row_number().over(order).alias("_rl_rank"))
-                   .where(F.col("_rl_rank") <= limit))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_rl_at"))
+    ranked = keyed.select(*groups, "_rl_at", rank.alias("_rl_rank")).where(F.col("_rl_rank") <= limit)
     if prior is None:
-        quota = F.lit(limit)
-    else:
-        used = prior.select(F.col("client_key").alias("_rl_key"),
-                            F.col("minute").alias("_rl_minute"),
-                            F.col("admitted").alias("_rl_used"))
-        ranked = ranked.join(used, groups, "left")
-        quota = F.greatest(F.lit(limit) - F.coalesce(F.col("_rl_used"), F.lit(0)), F.lit(0))
-    cut = (ranked.groupBy(*groups)
-                 .agg(F.max(F.when(F.col("_rl_rank") <= quota,
-                                   F.struct("_rl_ts", "_rl_tb"))).alias("_rl_cut"),
-                      F.max(quota).alias("_rl_quota")))
-    joined = keyed.join(cut, groups, "left")
-    after_cut = (F.col(ts) > F.col("_rl_cut._rl_ts")) | (
-        (F.col(ts) == F.col("_rl_cut._rl_ts")) & (F.col(tiebreak) > F.col("_rl_cut._rl_tb")))
-    limited = F.coalesce(F.col("_rl_quota") == 0, F.lit(False)) | F.coalesce(after_cut, F.lit(False))
+        cut = ranked.where(F.col("_rl_rank") == limit).select(*groups, F.col("_rl_at").alias("_rl_cut"))
+        if limit <= 0:
+            return _limited(keyed, F.lit(True), ts)
+        joined = keyed.join(cut, groups, "left")
+        return _limited(joined, F.coalesce(F.col("_rl_at") > F.col("_rl_cut"), F.lit(False)), ts)
+    used = prior.select(F.col("client_key").alias("_rl_key"),
+                        F.coalesce(F.col("minute"), no_time).alias("_rl_minute"),
+                        F.col("admitted").alias("_rl_used"))
+    cut = (ranked.join(used, groups, "left")
+                 .where(F.col("_rl_rank") == F.lit(limit) - F.coalesce(F.col("_rl_used"), F.lit(0)))
+                 .select(*groups, F.col("_rl_at").alias("_rl_cut")))
+    full = used.where(F.col("_rl_used") >= limit).select(*groups, F.lit(True).alias("_rl_full"))
+    joined = keyed.join(cut, groups, "left").join(full, groups, "left")
+    over = F.coalesce(F.col("_rl_full"), F.lit(False)) | F.coalesce(F.col("_rl_at") > F.col("_rl_cut"), F.lit(False))
+    return _limited(joined, over, ts)
+
+
+def _limited(df: DataFrame, over: Column, ts: str) -> DataFrame:
+    """``rate_limited`` and ``retry_after`` from the decision, without the working columns."""
     retry = (F.lit(60) - (F.unix_seconds(F.col(ts).cast("timestamp")) % 60)).cast("int")
-    return (joined.withColumn("rate_limited", limited)
-                  .withColumn("retry_after", F.when(limited, retry))
-                  .drop("_rl_key", "_rl_minute", "_rl_cut", "_rl_quota"))
+    return (df.withColumn("rate_limited", over)
+              .withColumn("retry_after", F.when(F.col("rate_limited"), retry))
+              .drop("_rl_key", "_rl_minute", "_rl_at", "_rl_cut", "_rl_full"))
 
 
 def client_key(col: Column) -> Column:

@@ -49,6 +49,8 @@ def hour_window(rollup: DataFrame, as_of, *, hours: float = 0,
                 days: float = 0) -> DataFrame:
     """Rows of an existing rollup with ``hour > as_of - window``."""
     since = as_timestamp(as_of) - dt.timedelta(days=days, hours=hours)
+    if "hour_date" in rollup.columns:  # implied by the bound on ``hour``; prunes partitions
+        rollup = rollup.where(F.col("hour_date") >= F.lit(since.date()))
     return rollup.where(F.col("hour") > ts_literal(since, rollup.schema["hour"].dataType))
 
 

@@ -73,7 +73,7 @@ def parsed_crash_time(f: str = "crash_timestamp") -> Column:
     """Crash time as a UTC instant at millisecond precision (text: ISO-8601
     parse; number: epoch milliseconds), NULL when it does not parse."""
     t, v = _t(f), _v(f)
-    text = F.try_to_timestamp(v)
+    text = F.when(v.rlike(r"^\s*\d{4}"), F.try_to_timestamp(v))  # a time of day alone has no date
     millis = F.timestamp_millis(F.floor(v.cast("double")).cast("bigint"))
     out = (F.when(t == "STRING", text)
             .when(t.startswith("DECIMAL") | t.isin(*NUMERIC), millis))

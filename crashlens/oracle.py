@@ -78,8 +78,10 @@ MEM = num("memory.total")
 
 def ratio(n: str, d: str, digits: int, scale: int = 1) -> str:
     p = 10 ** digits
-    return (f"(CASE WHEN ({d}) <> 0 THEN CAST((2 * {p * scale} * CAST({n} AS HUGEINT) + ({d})) "
-            f"// (2 * CAST({d} AS HUGEINT)) AS DOUBLE) / {p}.0 END)")
+    whole = f"((2 * {p * scale} * CAST({n} AS HUGEINT) + ({d})) // (2 * CAST({d} AS HUGEINT)))"
+    # written out as decimal text, so that reading it as a double is the only rounding
+    text = f"concat(CAST({whole} // {p} AS VARCHAR), '.', lpad(CAST({whole} % {p} AS VARCHAR), {max(digits, 1)}, '0'))"
+    return f"(CASE WHEN ({d}) <> 0 THEN CAST({text} AS DOUBLE) END)"
 
 
 def avg_gb(x: str) -> str:

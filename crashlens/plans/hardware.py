@@ -38,8 +38,9 @@ def _users(approx: bool = False):
 
 
 def _avg_gb(col):
-    """``round(avg(col) / 1e9, 1)`` for an integer byte column."""
-    return avg_scaled_half_up(F.sum(col), F.count(col), GB, 1)
+    """``round(avg(col) / 1e9, 1)`` for an integer byte column (a decimal sum: bytes pass 2^63)."""
+    col = F.col(col) if isinstance(col, str) else col
+    return avg_scaled_half_up(F.sum(col.cast("decimal(20,0)")), F.count(col), GB, 1)
 
 
 def _system():

@@ -16,18 +16,22 @@ def read_reports(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     arrived_at``.  ``fmt`` is ``json`` (JSON lines of envelopes, explicit
     schema, no inference), ``parquet``, or ``bodies``: plain text files with
     one report body per line (no signature or address; arrival time is the
-    file's modification time, the id a hash of file and line).  Bodies stay
+    file's modification time, the id a hash of file, line position and line).  Bodies stay
     text; parsing is part of admission so malformed JSON becomes a
     quarantined row, not a failed job."""
     prepare(spark)
     if fmt == "json":
-        return spark.read.schema(RAW_SCHEMA).option("mode", "PERMISSIVE").json(path)
+        lines = (spark.read.schema(T.StructType([*RAW_SCHEMA.fields, T.StructField("_corrupt", T.StringType())]))
+                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path))
+        # the text of a malformed line becomes the body, so that it is quarantined as it came
+        return lines.withColumn("body", F.coalesce("body", "_corrupt")).select(*[f.name for f in RAW_SCHEMA.fields])
     if fmt == "parquet":
         return spark.read.parquet(path).select(*[f.name for f in RAW_SCHEMA.fields])
     if fmt == "bodies":
         lines = spark.read.text(path).select("value", "_metadata")
         return lines.select(
-            F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), F.col("value")), 256)
+            F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string"),
+                               F.col("value")), 256)
              .alias("request_id"),
             F.col("value").alias("body"),
             F.lit(None).cast("string").alias("signature"),
@@ -60,10 +64,6 @@ def append_reports(df: DataFrame, path: str, files_per_date: int | None = None)
         .partitionBy("created_date").parquet(path))
 
 
-def _seconds(col) -> F.Column:
-    return F.extract(F.lit("SECOND"), col)
-
-
 def flatten_for_export(df: DataFrame) -> DataFrame:
     """Shape a result for flat sinks (CSV) and for engine comparison.
 
@@ -147,9 +147,9 @@ def replay_fallback(fallback: DataFrame, platform: str | None = None,
     else:
         arrived = F.current_timestamp()
     rid = (F.col("request_id").cast("string") if "request_id" in cols
-           else F.sha2(F.concat_ws(",", F.col("timestamp"), F.col("app_name"),
-                                   F.col("app_version"), F.col("error"),
-                                   F.col("stack")), 256))
+           else F.sha2(F.to_json(F.struct("timestamp", "app_name", "app_version", "error", "stack",
+                                          ip.cast("string").alias("client"),
+                                          *([F.col("arrived_at")] if "arrived_at" in cols else []))), 256))
     return fallback.select(
         rid.alias("request_id"), body.alias("body"),
         F.lit(None).cast("string").alias("signature"),

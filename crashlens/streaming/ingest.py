@@ -97,8 +97,15 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
 
 
 def dedup_stream(stream: DataFrame, key: str = "request_id",
-                 watermark_col: str = "arrived_at", delay: str = "24 hours") -> DataFrame:
-    """Drop replays of the same request within the watermark delay."""
+                 watermark_col: str = "arrived_at", delay: str | None = None) -> DataFrame:
+    """One row per request id.
+
+    Replays are late by nature, so by default every id is remembered (state grows with
+    the ids; keep it in RocksDB) and no late row is lost.  A ``delay`` bounds the state, and
+    then drops rows that are later than it, unique ones included.
+    """
+    if delay is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(watermark_col, delay).dropDuplicatesWithinWatermark([key])
 
 

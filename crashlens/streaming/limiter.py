@@ -103,8 +103,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def rate_limit_stream(stream: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
-                      watermark: str = "1 minute") -> DataFrame:
-    """Streaming twin of ``operators.rate_limit`` (append mode)."""
+                      watermark: str = "3650 days") -> DataFrame:
+    """Streaming twin of ``operators.rate_limit`` (append mode).
+
+    A shorter ``watermark`` evicts closed minutes earlier, but rows later than it get no
+    decision at all.  The ledger limiter has no such bound and is the default of
+    ``start_ingest``."""
     keyed = (stream.withWatermark("arrived_at", watermark)
                    .withColumn("_key", F.coalesce(F.col("client_ip"), F.lit("unknown"))))
     return (keyed.groupBy("_key")

@@ -24,16 +24,20 @@ from crashlens.functions.time import as_timestamp
 from crashlens.session import overwrite_partitions
 
 
-def hourly_rollup_stream(accepted: DataFrame, watermark: str = "10 minutes",
+def hourly_rollup_stream(accepted: DataFrame, watermark: str | None = "10 minutes",
                          sketch: bool = True) -> DataFrame:
     """X4 (+X5): ``app_name, app_version, platform, hour, crash_count,
-    unique_users[, users_sketch]`` from a stream of accepted reports."""
+    unique_users[, users_sketch]`` from a stream of accepted reports.
+
+    With a ``watermark`` rows later than it are left out and old cells leave the state
+    store (append mode needs one); with ``None`` every late row is counted and cells stay.  ``write_rollup_partial`` counts late rows with no state."""
     aggs = [F.count(F.lit(1)).alias("crash_count"),
             F.count(F.lit(1)).alias("unique_users")]
     if sketch:
         aggs.append(F.hll_sketch_agg("ip_hash").alias("users_sketch"))
-    return (accepted.withWatermark("created_at", watermark)
-                    .groupBy("app_name", "app_version", "platform",
+    if watermark is not None:
+        accepted = accepted.withWatermark("created_at", watermark)
+    return (accepted.groupBy("app_name", "app_version", "platform",
                              F.window("created_at", "1 hour").alias("w"))
                     .agg(*aggs)
                     .withColumn("hour", F.col("w.start"))
