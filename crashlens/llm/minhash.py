@@ -32,9 +32,9 @@ LANES, LANE_BITS, VALUE_BITS = 4, 15, 14
 #: of 0.75 (mean 13, deviation 3.1) that happens with probability 2e-7.
 FAR = 30
 #: Where many near but unlinked documents meet, one-bit minima of the full sets come before the
-#: check: at 0.75 one in eight differs (mean 128, deviation 10.6); over FAR_BITS do so with
+#: check: at 0.75 one in eight differs (mean 256, deviation 15); over FAR_BITS do so with
 #: probability 4e-6.
-BITS, FAR_BITS = 1024, 176
+BITS, FAR_BITS = 2048, 325
 BROADCAST_ROWS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * LANES + 1, dtype=np.uint64))
