@@ -285,8 +285,11 @@ class _Join:
         return found
 
     def run(self, rounds: int) -> DataFrame | None:
+        first = 0
         for r in range(rounds):
-            if not self.confirm(self.hub_pairs(r), f"round-{r}"):
+            found = self.confirm(self.hub_pairs(r), f"round-{r}")
+            first = first or found
+            if 10 * found <= first:  # the last phase finds what is left
                 break
         self.confirm(self.other_pairs(), "rest")
         return self.labels
