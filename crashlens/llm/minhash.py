@@ -6,40 +6,39 @@ differing minimum; enumerating the allowed error (each of the four places left o
 turns that into equality of one of ``4 * CHUNKS`` keys, so every such pair meets.  Sets
 with a similarity of 0.75 miss all keys with probability 3e-8.
 
-Pairs in a bucket are never all listed.  In each round a node is compared with one hub of
-another component, the one that it meets in most buckets, and what is linked becomes one
-component; then only members outside a bucket's largest component meet the members
-of other components, each pair in the first bucket that it shares.  Links are confirmed
-on the full shingle sets.
+Buckets with the same members count as one.  Pairs in a bucket are never all listed: in
+each round a node is compared with one hub of another component, the one that it meets in
+most buckets, and what is linked becomes one component; then only members outside a
+bucket's largest component are compared with the others, in blocks of bounded size that
+return links alone.  Every comparison is one of the full shingle sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crashlens.llm.order import prefix_sums
 from crashlens.llm.scratch import Scratch
 from crashlens.llm.words import LONGS, Words, lists, longs, mix, record, slices
 
 SHINGLE = 5
 CHUNKS = 13
 LANES, LANE_BITS, VALUE_BITS = 4, 15, 14
-#: Pairs that differ in more minima than this are not checked on their sets; at a similarity
-#: of 0.75 (mean 13, deviation 3.1) that happens with probability 2e-7.
-FAR = 30
-#: Where many near but unlinked documents meet, one-bit minima of the full sets come before the
-#: check: at 0.75 one in eight differs (mean 256, deviation 15); over FAR_BITS do so with
-#: probability 4e-6.
-BITS, FAR_BITS = 2048, 325
+#: Shingles of a block of sets, each set counted with ``EXTRA`` more, so that a block has
+#: 1,024 short sets at most on average.
+BLOCK, EXTRA = 1 << 18, 256
+#: Columns of the 0/1 matrices whose product counts what two blocks share.
+COLUMNS = 4096
 BROADCAST_ROWS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * LANES + 1, dtype=np.uint64))
 _FACTOR, _SHIFT = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
-_BIT_FACTOR = mix(np.arange(1_000_001, 1_000_001 + BITS, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,19 +97,6 @@ def shingle_set(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts)
 
 
-@F.arrow_udf(LONGS)
-def bit_signature(sets: pa.Array) -> pa.Array:
-    """One-bit minima of each row's set, packed into longs."""
-    n = len(sets)
-    value, offset = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
-    at = offset[:-1] - offset[0]
-    packed = np.zeros((n, BITS // 64), np.uint64)
-    for i in range(BITS if n else 0):
-        least = np.minimum.reduceat(value * _BIT_FACTOR[i], at)
-        packed[:, i // 64] |= (mix(least) >> np.uint64(63)) << np.uint64(i % 64)
-    return lists(longs(packed.ravel()), np.arange(n + 1) * (BITS // 64))
-
-
 def index_keys(sig: str) -> Column:
     """The ``4 * CHUNKS`` keys: chunk number, place left out, the other three minima."""
     keys = []
@@ -124,37 +110,6 @@ def index_keys(sig: str) -> Column:
     return F.array(*keys)
 
 
-def differing(a: str, b: str) -> Column:
-    """Number of minima in which two packed signatures differ."""
-    lane = sum(1 << LANE_BITS * i for i in range(LANES))
-    low, high = lane * ((1 << VALUE_BITS) - 1), lane << VALUE_BITS
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        x = F.col(a)[c].bitwiseXOR(F.col(b)[c])
-        total = total + F.bit_count((x + F.lit(low)).bitwiseAND(F.lit(high)))
-    return total
-
-
-def first_shared(key: str, a: str, b: str) -> Column:
-    """Whether ``key``, an index key of both signatures, is the first such one: of the first chunk
-    with at most one differing minimum, and of its places the first, or the differing one."""
-    lane = sum(1 << LANE_BITS * i for i in range(LANES))
-    low, high = lane * ((1 << VALUE_BITS) - 1), lane << VALUE_BITS
-    tag = F.shiftright(key, LANE_BITS * (LANES - 1))
-    out = F.lit(False)
-    for c in reversed(range(CHUNKS)):
-        off = F.bit_count((F.col(a)[c].bitwiseXOR(F.col(b)[c]) + F.lit(low)).bitwiseAND(F.lit(high)))
-        own = (tag == c * LANES) | ((off == 1) & (tag > c * LANES) & (tag < (c + 1) * LANES))
-        out = F.when(off <= 1, own).otherwise(out)
-    return out
-
-
-def _alike(a: str, b: str) -> Column:
-    """May link: sizes allow a similarity of 0.75 and the signatures are near."""
-    small, large = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
-    return (4 * small >= 3 * large) & (differing(f"sig_{a}", f"sig_{b}") <= FAR)
-
-
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp): smallest node reachable, for all nodes of ``links`` (a, b).
 
@@ -180,119 +135,164 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return label
 
 
-class _Join:
-    """State of the rounds over one set of nodes (node, n, sig, id, t)."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch):
-        self.docs, self.nodes, self.scratch = docs, nodes, scratch
-        self.signed = nodes.select("node", "n", "sig")
-        keys = nodes.select(F.explode(index_keys("sig")).alias("key"), "node")
-        shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        self.members = scratch.save(keys.join(shared, "key"), "members")
-        self.labels: DataFrame | None = None
-        self.tested: list[DataFrame] = []
-        self.links: list[DataFrame] = []
-        self.sets: list[DataFrame] = []
-
-    def _labelled(self) -> DataFrame:
-        if self.labels is None:
-            return self.members.withColumn("comp", F.col("node"))
-        return (self.members.join(self.labels, "node", "left")
-                .select("key", "node", F.coalesce("comp", "node").alias("comp")))
-
-    @staticmethod
-    def _union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
-
-    def hub_pairs(self, seed: int) -> DataFrame:
-        """Each node with the hub of another component that most of its buckets have."""
-        m = self._labelled()
-        rank = F.col("node") if seed == 0 else F.xxhash64(F.lit(seed), "node")
-        hubs = m.groupBy("key").agg(
-            F.min(F.struct(rank.alias("r"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"),
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "h.hub", "h.hub_comp")
-        met = m.join(hubs, "key").where("comp <> hub_comp").groupBy("node", "hub").agg(F.count("*").alias("c"))
-        best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("h"))
-        return best.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
-
-    def other_pairs(self) -> DataFrame:
-        """Members outside their bucket's largest component with those of other components."""
-        m = self._labelled()
-        sizes = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        main = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"))
-                .where("parts > 1").select("key", "main"))
-        m = self.scratch.save(m.join(main, "key"), "others")
-        m = m.join(self.signed.join(self._bits(m), "node"), "node")
-        a = m.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"),
-                                           F.col("n").alias("n_a"), F.col("sig").alias("sig_a"), F.col("bits").alias("bits_a"))
-        b = m.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main",
-                     F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("bits").alias("bits_b"))
-        once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
-        first = first_shared("key", "sig_a", "sig_b")
-        near = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0)) <= FAR_BITS
-        return (a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b"))
-                       & once & _alike("a", "b") & first & near)
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    def _bits(self, m: DataFrame) -> DataFrame:
-        """(node, bits) of all nodes in ``m``."""
-        nodes = m.select("node").distinct()
-        self._add_sets(nodes, "rest-bits")
-        if not self.sets:
-            return nodes.withColumn("bits", F.lit(None).cast(LONGS))
-        own = self._union(self.sets).join(nodes, "node", "left_semi")
-        return self.scratch.save(own.select("node", bit_signature("s").alias("bits")), "bits")
-
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        a = self.signed.toDF("a", "n_a", "sig_a")
-        b = self.signed.toDF("b", "n_b", "sig_b")
-        return pairs.join(a, "a").join(b, "b").where(_alike("a", "b")).select("a", "b", "n_a", "n_b")
-
-    def _add_sets(self, need: DataFrame, name: str) -> None:
-        """Compute the sets of the nodes in ``need`` that earlier rounds have not made."""
-        if self.sets:
-            need = need.join(self._union(self.sets).select("node"), "node", "left_anti")
-        need = self.scratch.save(need.join(self.nodes.select("node", "id", "t"), "node"), f"{name}-need")
-        count = need.count()
-        if count:
-            text = self.docs.withColumn("_t", F.xxhash64("_text"))
-            need = F.broadcast(need) if count <= BROADCAST_ROWS else need
-            found = text.join(need, text["_id"].eqNullSafe(need["id"]) & (text["_t"] == need["t"]))
-            self.sets.append(self.scratch.save(
-                found.dropDuplicates(["node"]).select("node", shingle_set("_text").alias("s")), f"{name}-sets"))
-
-    def confirm(self, pairs: DataFrame, name: str) -> int:
-        """Check pairs on their sets; number of new links."""
-        if self.tested:
-            pairs = pairs.join(self._union(self.tested), ["a", "b"], "left_anti")
-        pairs = self.scratch.save(self._near(pairs), f"{name}-pairs")
-        self.tested.append(pairs.select("a", "b"))
-        self._add_sets(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), name)
-        if not self.sets:
-            return 0
-        sets = self._union(self.sets)
-        a, b = sets.toDF("a", "s_a"), sets.toDF("b", "s_b")
-        shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-        links = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", shared.alias("i"))
-        links = self.scratch.save(links.where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b"), f"{name}-links")
-        found = links.count()
-        if found:
-            self.links.append(links)
-            self.labels = components(self._union(self.links), self.scratch, f"{name}-labels")
-        return found
+def buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, weight, node, n): members of all buckets of two or more nodes.
 
-    def run(self, rounds: int) -> DataFrame | None:
-        first = 0
-        for r in range(rounds):
-            found = self.confirm(self.hub_pairs(r), f"round-{r}")
-            first = first or found
-            if 10 * found <= first:  # the last phase finds what is left
-                break
-        self.confirm(self.other_pairs(), "rest")
-        return self.labels
+    Of buckets with the same members one is kept; ``weight`` is their number.
+    """
+    keys = nodes.select(F.explode(index_keys("sig")).alias("key"), "node", "n")
+    shared = keys.groupBy("key").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("c > 1")
+    kept = shared.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    return scratch.save(keys.join(kept.select("key", "weight"), "key"), "members")
+
+
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with ``comp``, which is the node itself where it has no link."""
+    if labels is None:
+        return members.withColumn("comp", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def hub_pairs(members: DataFrame, seed: int) -> DataFrame:
+    """Each node with the hub of another component that most of its buckets have."""
+    hubs = members.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("r"), F.col("node").alias("hub"),
+                       F.col("comp").alias("hub_comp"))).alias("h"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "h.hub", "h.hub_comp")
+    met = members.join(hubs, "key").where("comp <> hub_comp").groupBy("node", "hub").agg(F.sum("weight").alias("c"))
+    best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("h"))
+    return best.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.75 or more."""
+    a, b = sets.toDF("a", "s_a"), sets.toDF("b", "s_b")
+    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"),
+                                                  shared.alias("i"))
+    return both.where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b")
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of members outside their bucket's largest component with members of other components.
+
+    The outsiders and all members of a bucket are dealt into blocks by a hash; each block of
+    outsiders meets each block of members in one cell, a bounded piece of work.
+    """
+    weight = F.sum(F.col("n") + EXTRA)
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), weight.alias("w"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("main"), F.sum("w").alias("w"),
+                                    F.count("*").alias("parts")).where("parts > 1")
+    shape = main.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / BLOCK).alias("rows"),
+                        F.ceil(F.col("w") / BLOCK).alias("columns"))
+    i, j = F.pmod(F.xxhash64("node"), F.col("rows")), F.pmod(F.xxhash64("node"), F.col("columns"))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("columns") - 1),
+                         lambda k: F.struct(i.alias("i"), k.cast("long").alias("j"), F.lit(True).alias("outside")))
+    as_column = F.transform(F.sequence(F.lit(0), F.col("rows") - 1),
+                            lambda k: F.struct(k.cast("long").alias("i"), j.alias("j"), F.lit(False).alias("outside")))
+    places = F.when(F.col("comp") != F.col("main"), F.concat(as_row, as_column)).otherwise(as_column)
+    cells = (members.join(shape, "key").select("key", "node", "comp", F.explode(places).alias("place"))
+             .select("key", "place.*", "node", "comp").join(sets, "node"))
+    return (cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(_cells, "a long, b long"))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each run of rows with equal (key, i, j)."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
+            if lo == hi:
+                continue
+            if held and last != tuple(cell[lo]):
+                yield from _cell_links(held)
+                held = []
+            last = tuple(cell[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from _cell_links(held)
+
+
+def _cell_links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a cell, without those that close a circle."""
+    cell = pa.Table.from_batches(rows).combine_chunks()
+    outside = cell["outside"].to_numpy().astype(bool)
+    if outside.all() or not outside.any():
+        return
+    node, comp, sets = cell["node"].to_numpy(), cell["comp"].to_numpy(), cell["s"].chunk(0)
+    size, value = pc.list_value_length(sets).to_numpy().astype(np.int64), sets.flatten().to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    common = np.intersect1d(value[outside[row]], value[~outside[row]])
+    if not len(common):
+        return
+    column = np.searchsorted(common, value)
+    column[column == len(common)] = 0
+    hit = common[column] == value
+    row, column = row[hit], column[hit]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+    shared = np.zeros((len(a), len(b)))
+    for lo in range(0, len(common), COLUMNS):
+        s, e = np.searchsorted(column, [lo, lo + COLUMNS])
+        holds = np.zeros((len(size), min(COLUMNS, len(common) - lo)), np.float32)
+        holds[row[s:e], column[s:e] - lo] = 1
+        shared += holds[a] @ holds[b].T
+    linked = (100 * shared >= 75 * (size[a][:, None] + size[b] - shared)) & (comp[a][:, None] != comp[b])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for x, y in zip(*np.nonzero(linked)):
+        p, q = find(int(comp[a[x]])), find(int(comp[b[y]]))
+        if p != q:
+            root[p] = q
+            kept.append((node[a[x]], node[b[y]]))
+    if kept:
+        ends = np.array(kept, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, s): the full shingle set of each node in a bucket."""
+    need = members.select("node").distinct().join(nodes, "node").select("node", "id", "t")
+    need = scratch.save(need, "need")
+    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    text = docs.withColumn("_t", F.xxhash64("_text"))
+    found = text.join(need, text["_id"].eqNullSafe(need["id"]) & (text["_t"] == need["t"]))
+    return scratch.save(found.dropDuplicates(["node"]).select("node", shingle_set("_text").alias("s")), "sets")
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, rounds: int, scratch: Scratch) -> DataFrame | None:
+    """(node, comp) of all nodes with a link; None if there are no links."""
+    members = buckets(nodes, scratch)
+    sets = node_sets(docs, nodes, members, scratch)
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    first, step, hubs = 0, 0, True
+    while True:
+        hubs = hubs and step < rounds
+        here = labelled(members, labels)
+        made = confirmed(hub_pairs(here, step), sets) if hubs else block_links(here, sets)
+        made = scratch.save(made, f"links-{step}")
+        found = made.count()
+        if found:
+            links = made if links is None else links.union(made)
+            labels = components(links, scratch, f"labels-{step}")
+        if not hubs:
+            return labels
+        first, step = first or found, step + 1
+        hubs = 10 * found > first  # the blocks find what is left
 
 
 def near_duplicates(docs: DataFrame, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text",
@@ -320,15 +320,11 @@ def near_duplicates(docs: DataFrame, rounds: int = 5, id_col: str = "doc_id", te
     lead = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "t")
     classes = (whole.groupBy("k1", "k2").agg(F.min(lead).alias("lead"), F.first("n").alias("n"), F.first("sig").alias("sig"))
                .select("k1", "k2", "n", "sig", "lead.*"))
-    nodes = scratch.save(
-        prefix_sums(classes, ["none", "id", "rid"], {}, scratch, "classes").withColumnRenamed("position", "node"), "nodes")
-    labels = _Join(base.select("_id", "_text"), nodes, scratch).run(rounds)
-    if labels is None:
-        groups = nodes.select("k1", "k2", F.col("id").alias("component_id"), F.col("rid").alias("lead_rid"))
-    else:
-        top = nodes.select(F.col("node").alias("comp"), F.col("id").alias("component_id"), F.col("rid").alias("lead_rid"))
-        groups = (nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                  .join(top, "comp").select("k1", "k2", "component_id", "lead_rid"))
+    nodes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = linked_nodes(base.select("_id", "_text"), nodes, rounds, scratch)
+    of = labelled(nodes.select("k1", "k2", "node", "none", "id", "rid"), labels)
+    top = of.groupBy("comp").agg(F.min(F.struct("none", "id", "rid")).alias("top"))
+    groups = of.join(top, "comp").select("k1", "k2", F.col("top.id").alias("component_id"), F.col("top.rid").alias("lead_rid"))
     groups = scratch.save(groups, "groups")
     empty = rows.where("n = 0").withColumns({"component_id": F.col("id"), "lead_rid": F.col("rid")})
     out = whole.join(groups, ["k1", "k2"]).unionByName(empty)
