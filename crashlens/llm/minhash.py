@@ -35,6 +35,8 @@ LANES, LANE_BITS, VALUE_BITS = 4, 15, 14
 BLOCK, EXTRA = 1 << 18, 256
 #: Columns of the 0/1 matrices whose product counts what two blocks share.
 COLUMNS = 4096
+#: What a set is in a cell: a row (an outsider), a column, or both.
+ROW, COLUMN = 1, 2
 BROADCAST_ROWS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * LANES + 1, dtype=np.uint64))
@@ -188,11 +190,12 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     shape = main.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / BLOCK).alias("rows"),
                         F.ceil(F.col("w") / BLOCK).alias("columns"))
     i, j = F.pmod(F.xxhash64("node"), F.col("rows")), F.pmod(F.xxhash64("node"), F.col("columns"))
-    as_row = F.transform(F.sequence(F.lit(0), F.col("columns") - 1),
-                         lambda k: F.struct(i.alias("i"), k.cast("long").alias("j"), F.lit(True).alias("outside")))
-    as_column = F.transform(F.sequence(F.lit(0), F.col("rows") - 1),
-                            lambda k: F.struct(k.cast("long").alias("i"), j.alias("j"), F.lit(False).alias("outside")))
-    places = F.when(F.col("comp") != F.col("main"), F.concat(as_row, as_column)).otherwise(as_column)
+    as_row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1),
+                         lambda k: F.struct(i.alias("i"), k.alias("j"), F.when(k == j, ROW + COLUMN).otherwise(ROW).alias("role")))
+    as_column = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1),
+                            lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(COLUMN).alias("role")))
+    elsewhere = F.filter(as_column, lambda place: place["i"] != i)  # its own cell has it as a row already
+    places = F.when(F.col("comp") != F.col("main"), F.concat(as_row, elsewhere)).otherwise(as_column)
     cells = (members.join(shape, "key").select("key", "node", "comp", F.explode(places).alias("place"))
              .select("key", "place.*", "node", "comp").join(sets, "node"))
     return (cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -221,13 +224,15 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cell_links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a cell, without those that close a circle."""
     cell = pa.Table.from_batches(rows).combine_chunks()
-    outside = cell["outside"].to_numpy().astype(bool)
-    if outside.all() or not outside.any():
+    role = cell["role"].to_numpy()
+    a, b = np.flatnonzero(role & ROW), np.flatnonzero(role & COLUMN)
+    if not len(a) or not len(b):
         return
     node, comp, sets = cell["node"].to_numpy(), cell["comp"].to_numpy(), cell["s"].chunk(0)
     size, value = pc.list_value_length(sets).to_numpy().astype(np.int64), sets.flatten().to_numpy()
     row = np.repeat(np.arange(len(size)), size)
-    common = np.intersect1d(value[outside[row]], value[~outside[row]])
+    common, times = np.unique(value, return_counts=True)
+    common = common[times > 1]
     if not len(common):
         return
     column = np.searchsorted(common, value)
@@ -236,7 +241,6 @@ def _cell_links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row, column = row[hit], column[hit]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
     shared = np.zeros((len(a), len(b)))
     for lo in range(0, len(common), COLUMNS):
         s, e = np.searchsorted(column, [lo, lo + COLUMNS])
