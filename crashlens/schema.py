@@ -79,20 +79,6 @@ RAW_SCHEMA = T.StructType([
     T.StructField("arrived_at", T.TimestampType()),
 ])
 
-# JSON body of a report.  Everything is read as text so that type errors
-# become validation errors instead of parse failures; hardware stays raw JSON.
-BODY_SCHEMA = T.StructType([
-    T.StructField("app_name", T.StringType()),
-    T.StructField("app_version", T.StringType()),
-    T.StructField("platform", T.StringType()),
-    T.StructField("crash_timestamp", T.StringType()),
-    T.StructField("error_message", T.StringType()),
-    T.StructField("stack_trace", T.StringType()),
-    T.StructField("hardware_specs", T.StringType()),
-    T.StructField("user_id", T.StringType()),
-    T.StructField("session_id", T.StringType()),
-])
-
 # Union of every hardware_specs shape written or queried.  Numbers are read
 # as double: a bigint field refuses "8000000000.0" and clients send floats.
 HARDWARE_SCHEMA = T.StructType([
@@ -129,8 +115,6 @@ REPORT_COLUMNS = [
     "error_message", "stack_trace", "hardware_specs", "user_id",
     "session_id", "created_at", "ip_hash",
 ]
-ROLLUP_COLUMNS = ["app_name", "app_version", "platform", "hour",
-                  "crash_count", "unique_users"]
 
 # Stored fact table as written by ingestion (partition columns last).
 FACT_SCHEMA = T.StructType(
