@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashlens.llm.scratch import Scratch
-from crashlens.llm.words import mix, text_bytes
+from crashlens.llm.words import LONGS, lists, record, slices, text_bytes
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDERS = 5  # contexts of 0 to 4 characters
-BITS = 16
+BITS = 9  # of a symbol
+UNIT = 1 << 32  # log-ratios are whole multiples of 1 / UNIT
 BINS = 400  # score bins for the threshold, over -4 to 4
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,69 +37,57 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
     return out
 
 
-class Grams:
-    """Bucket numbers of each character's contexts: (order, context) and (order, context, character)."""
-
-    def __init__(self, texts: pa.Array):
-        data, self.row = text_bytes(texts)
-        size = len(data)
-        place = np.arange(size) - np.repeat(self.row[:-1], np.diff(self.row))
-        sym = data.astype(np.uint64) + np.uint64(1)
-        context = np.zeros(size, np.uint64)
-        self.context, self.pair = [], []
-        for k in range(ORDERS):
-            tag = np.uint64(k + 1) << np.uint64(56)
-            base = mix(context ^ tag)
-            self.context.append((base >> np.uint64(64 - BITS)).astype(np.int64))
-            self.pair.append((mix(base + sym) >> np.uint64(64 - BITS)).astype(np.int64))
-            older = np.zeros(size, np.uint64)  # 0 before the first character
-            older[k + 1:] = sym[:size - k - 1] if k + 1 < size else 0
-            older[place < k + 1] = 0
-            context = context * np.uint64(0x100000001B3) + older
-
-    def index(self, label: np.ndarray) -> np.ndarray:
-        """Flat cell numbers: [class][context or pair][order][bucket]."""
-        own = np.repeat(label.astype(np.int64), np.diff(self.row))
-        cells = [((own * 2 + kind) * ORDERS + k << BITS) + buckets
-                 for kind, group in ((0, self.context), (1, self.pair)) for k, buckets in enumerate(group)]
-        return np.concatenate(cells)
-
-
-def count_cells(texts: DataFrame) -> DataFrame:
-    """(cell, n) over all rows of (label, text)."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 * ORDERS << BITS, np.int64)
-        for batch in batches:
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            total += np.bincount(Grams(batch.column("text")).index(label), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
-
-    return texts.select("label", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def scorer(table: np.ndarray, strength: float):
-    """UDF text -> mean log-likelihood ratio (accepted over rejected) a character.
+_GRAMS = record(gram=LONGS, n=LONGS)
+
+
+def _grams(texts: pa.Array) -> pa.Array:
+    """Each text's distinct grams, the symbols (byte + 1) of a character and of the ``ORDERS - 1``
+    before it, and how often each stands.  A symbol fills ``BITS`` bits, the newest the lowest
+    ones, and is 0 before the first character; so equal numbers are equal grams."""
+    parts = []
+    for lo, hi in slices(texts):
+        data, row = text_bytes(texts.slice(lo, hi - lo))
+        place = np.arange(len(data)) - np.repeat(row[:-1], np.diff(row))
+        symbol = data.astype(np.int64) + 1
+        gram = symbol.copy()
+        for k in range(1, ORDERS):
+            older = np.zeros(len(data), np.int64)
+            older[k:] = symbol[:-k]
+            gram |= np.where(place < k, 0, older) << BITS * k
+        doc = np.repeat(np.arange(hi - lo), np.diff(row))
+        order = np.lexsort((gram, doc))
+        gram, doc = gram[order], doc[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        ends = np.searchsorted(doc[at], np.arange(hi - lo + 1))
+        parts.append(pa.StructArray.from_arrays(
+            [lists(gram[at], ends), lists(np.diff(np.append(at, len(gram))), ends)], ["gram", "n"]))
+    return pa.concat_arrays(parts)
+
+
+def model(counts: DataFrame, strength: float) -> DataFrame:
+    """(gram, ratio) from (gram, allow, block): log-likelihood ratio of each gram's last character
+    (allowed over blocked) in whole ``UNIT``-ths, so that sums do not depend on their order.
 
     Each order's estimate (n(context, c) + strength * shorter order) / (n(context) + strength)
-    backs off to the next shorter context; order 0 backs off to 1 / 256.
+    backs off to the next shorter context; order 0 backs off to 1 / 256.  A context goes
+    before at most 256 characters and follows on at most 257, so no key is hot.
     """
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        if not len(texts):
-            return pa.array([], pa.float64())
-        g = Grams(texts)
-        logs = []
-        for label in (1, 0):
-            p = np.full(len(g.context[0]), 1 / 256)
-            for k in range(ORDERS):
-                p = (table[label, 1, k][g.pair[k]] + strength * p) / (table[label, 0, k][g.context[k]] + strength)
-            logs.append(np.log(np.minimum(p, 1.0)))
-        sums = np.concatenate([[0.0], np.cumsum(logs[0] - logs[1])])
-        length = np.diff(g.row)
-        return pa.array((sums[g.row[1:]] - sums[g.row[:-1]]) / np.maximum(length, 1))
-
-    return score
+    labels, shorter = ("allow", "block"), None
+    for k in range(ORDERS):
+        own = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("gram")).agg(
+            *[F.sum(x).alias(x) for x in labels])
+        before = Window.partitionBy(F.shiftright("gram", BITS))
+        own = own.withColumns({f"{x}_all": F.sum(x).over(before) for x in labels})
+        if shorter is None:
+            own = own.withColumns({f"{x}_p": F.lit(1 / 256) for x in labels})
+        else:
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))).join(
+                shorter.withColumnRenamed("gram", "suffix"), "suffix")
+        shorter = own.select("gram", *[((F.col(x) + strength * F.col(f"{x}_p")) / (F.col(f"{x}_all") + strength)).alias(f"{x}_p")
+                                       for x in labels])
+    return shorter.select("gram", F.round((F.log("allow_p") - F.log("block_p")) * UNIT).cast("long").alias("ratio"))
 
 
 def best_threshold(bins: list[tuple[int, int, int]]) -> float:
@@ -125,8 +112,8 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, st
 
     The longest fitting rule decides.  URLs that a rule decides also teach the models: two
     variable-order character models, of the allowed and of the blocked, counted over all of
-    them but every ``held_out``-th by hash; those fix the threshold.  Counts fill a table of
-    fixed size (2 classes x 2 x 5 orders x 65536 hashed cells), which bounds the broadcast.
+    them but every ``held_out``-th by hash; those fix the threshold.  The exact counts are a
+    table with a row for each distinct gram, joined with the grams of each distinct URL.
     Other URLs are allowed if their mean log-likelihood ratio reaches the threshold.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and scores 0.
@@ -137,18 +124,28 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, st
     scratch = Scratch(pages.sparkSession, "urls")
     parts = url_parts(F.col(url_col))
     rows = pages.select(F.struct("*").alias("row"), F.struct(*[v.alias(k) for k, v in parts.items()]).alias("u"))
-    rule = longest_rule(F.col("u.host"), F.col("u.path"), rules)
-    taught = scratch.save(rows.select(F.col("u.rest").alias("text"), rule.alias("r")).where("r is not null").select(
-        "text", (F.col("r.verdict") == "allow").cast("int").alias("label"),
-        (F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0).alias("held")), "taught")
-    cells = scratch.save(count_cells(taught.where("not held")), "cells").toPandas()  # at most 4 * ORDERS << BITS rows
-    table = np.zeros(4 * ORDERS << BITS, np.int64)
-    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    score = scorer(table.reshape(2, 2, ORDERS, 1 << BITS), strength)
-    bin_ = F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(score("text") * BINS / 8) + BINS // 2)).cast("int")
-    bins = taught.where("held").select("label", bin_.alias("bin")).groupBy("label", "bin").count().collect()  # 2 * BINS
-    threshold = best_threshold([tuple(r) for r in bins])
-    judged = rows.withColumn("_rule", rule).withColumn("_score", F.round(score(F.col("u.rest")), 9))
+    rows = rows.withColumns({"_rule": longest_rule(F.col("u.host"), F.col("u.path"), rules),
+                             "_t1": F.xxhash64("u.rest"), "_t2": F.xxhash64(F.lit("rest"), F.col("u.rest"))})
+    held = F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0
+    count = lambda fits: F.coalesce(F.sum(fits.cast("long")), F.lit(0))
+    texts = scratch.save(rows.select(F.col("u.rest").alias("text"), "_t1", "_t2", F.col("_rule.verdict").alias("v")).groupBy(
+        "text", "_t1", "_t2").agg(*[count(F.col("v") == v).alias(v) for v in ("allow", "block")]), "texts")
+    grams = F.arrow_udf(_grams, _GRAMS)
+    each = texts.withColumns({"held": held, "g": grams(F.col("text"))})
+    taught = lambda v: F.when(F.col("held"), F.lit(0)).otherwise(F.col(v)).cast("long")
+    each = scratch.save(each.select("_t1", "_t2", *[taught(v).alias(v) for v in ("allow", "block")], F.explode(
+        F.arrays_zip(F.col("g.gram").alias("gram"), F.col("g.n").alias("n"))).alias("g")).select(
+        "_t1", "_t2", "allow", "block", "g.gram", "g.n"), "grams")
+    counts = scratch.save(each.groupBy("gram").agg(*[F.sum(F.col(v) * F.col("n")).alias(v) for v in ("allow", "block")]), "counts")
+    ratios = scratch.save(model(counts, strength), "model")
+    sums = each.select("_t1", "_t2", "gram", "n").join(ratios, "gram").groupBy("_t1", "_t2").agg(
+        F.round(F.sum(F.col("n") * F.col("ratio")) / UNIT / F.sum("n"), 9).alias("_score"))
+    scores = scratch.save(texts.select("_t1", "_t2", "allow", "block", held.alias("held")).join(sums, ["_t1", "_t2"], "left")
+                          .withColumn("_score", F.coalesce("_score", F.lit(0.0))), "scores")
+    bin_ = F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(F.col("_score") * BINS / 8) + BINS // 2)).cast("int")
+    bins = scores.where("held").groupBy(bin_.alias("bin")).agg(F.sum("block"), F.sum("allow")).collect()  # at most BINS + 1
+    threshold = best_threshold([(label, r[0], r[label + 1]) for r in bins for label in (0, 1)])
+    judged = rows.join(scores.select("_t1", "_t2", "_score"), ["_t1", "_t2"], "left")
     method = F.when(F.col("_score") >= threshold, "allow").otherwise("block")
     return judged.select("row", F.struct(
         F.col("u.host").alias("host"), F.col("u.path").alias("path"), F.col("_rule.rule").alias("rule"),

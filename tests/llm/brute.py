@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -119,3 +120,31 @@ def greedy_pieces(word, pieces, end):
             return 1
         s, n = s[k:], n + 1
     return n
+
+
+def url_grams(text):
+    """(context of up to 4 bytes, byte) at each place, zeros before the first."""
+    data = b"\0" * 4 + text.encode()
+    return [data[i - 4:i + 1] for i in range(4, len(data))]
+
+
+def url_scores(taught, texts, strength=4.0):
+    """Mean log-likelihood ratio of each text from exact counts of (verdict, order, context, byte)."""
+    count = Counter()
+    for text, verdict in taught:
+        for g in url_grams(text):
+            for k in range(5):
+                count[verdict, k, g[4 - k:]] += 1
+                count[verdict, k, g[4 - k:4], "all"] += 1
+    out = {}
+    for text in texts:
+        logs = {}
+        for verdict in ("allow", "block"):
+            logs[verdict] = 0.0
+            for g in url_grams(text):
+                p = 1 / 256
+                for k in range(5):
+                    p = (count[verdict, k, g[4 - k:]] + strength * p) / (count[verdict, k, g[4 - k:4], "all"] + strength)
+                logs[verdict] += math.log(p)
+        out[text] = (logs["allow"] - logs["block"]) / max(len(text.encode()), 1)
+    return out

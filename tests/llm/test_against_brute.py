@@ -180,6 +180,19 @@ def test_url_model_learns(spark):
     assert right >= 95
 
 
+def test_url_model_counts_are_exact(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    urls = [f"http://{word()}{end}{word()}" for end in (".example.net/en/", ".net/", ".com/") for _ in range(1500)]
+    got = {x.url: x.score for x in filter_urls(spark.createDataFrame([(u,) for u in urls + urls[:100]], "url string")).select("row.url", "u.score").collect()}
+    verdicts = {x.url: x.verdict for x in filter_urls(spark.createDataFrame([(u,) for u in urls], "url string")).where("u.rule is not null").select("row.url", "u.verdict").collect()}
+    rests = spark.createDataFrame([(u, u[7:]) for u in urls], "url string, text string").selectExpr("url", "pmod(xxhash64(text), 5) = 0 as held").collect()
+    held = {x.url for x in rests if x.held}
+    want = brute.url_scores([(u[7:], verdicts[u]) for u in urls + urls[:100] if u in verdicts and u not in held], [u[7:] for u in urls])
+    assert len({g for u in urls for g in brute.url_grams(u[7:])}) > 1 << 16
+    assert max(abs(got[u] - want[u[7:]]) for u in urls) < 2e-9
+
+
 def test_url_empty(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
