@@ -17,7 +17,7 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l ms s sec min h hr ho
          "days day weeks week months month years year percent usd eur dollars dollar euros euro cents cent miles mile "
          "meters metres meter metre kilometers kilometres grams gram kilograms liters litres degrees")
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
-WINDOW, STRIDE = 8, 4
+WINDOW = 8
 MIN_LITERALS = 4
 BROADCAST_ROWS = 1_000_000
 
@@ -44,9 +44,9 @@ def fillings(text: Column) -> Column:
         _marked(text, True), F.lit(r"\x02[0-9.,:/]+|\x03%|[\p{L}\p{M}\p{N}\x01\x03]+"), F.lit(0))
 
 
-def _windows(words: str, stride: int) -> Column:
-    """array<struct<at, h>> of the windows that begin at multiples of ``stride``."""
-    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW, F.lit(stride)))
+def _windows(words: str) -> Column:
+    """array<struct<at, h>> of the windows, one at every word that has enough after it."""
+    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW))
     return F.transform(starts, lambda i: F.struct(
         i.alias("at"), F.xxhash64(F.slice(F.col(words), i + 1, F.lit(WINDOW))).alias("h")))
 
@@ -63,8 +63,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, text_co
     An item is held if ``min_cover`` of its template windows, those with at least
     ``MIN_LITERALS`` plain words, stand in the text.  Along each run of aligned windows, equal
     fillings of the item must meet equal fillings of the text; runs where they do not are
-    left out.  Text windows are first met at every ``STRIDE``-th word, which finds any shared
-    run of ``WINDOW + STRIDE - 1`` words; texts so met are then read at every word.
+    left out.  Texts are first met by the hashes of their windows at every word, so any shared
+    window is found wherever it stands; windows are compared word by word in texts so met.
 
     Items of fewer than ``WINDOW`` words, or without such windows, are too little evidence and
     match nothing.  Null or empty texts hold nothing; equal texts and repeated items
@@ -73,7 +73,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, text_co
     scratch = Scratch(docs.sparkSession, "leaks")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropDuplicates()
     items = items.select("item", template(F.col("text")).alias("w"), fillings(F.col("text")).alias("v"))
-    parts = items.select("item", "w", "v", F.explode(_windows("w", 1)).alias("p"))
+    parts = items.select("item", "w", "v", F.explode(_windows("w")).alias("p"))
     plain = F.size(F.filter(F.slice("w", F.col("p.at") + 1, F.lit(WINDOW)), lambda x: x > F.lit("\x04")))
     parts = scratch.save(parts.where(plain >= MIN_LITERALS).select(
         "item", F.col("p.at").alias("item_at"), F.col("p.h").alias("h"),
@@ -85,12 +85,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, text_co
     texts = docs.select(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("text"), F.col(text_col)).alias("t2"),
                         F.col(text_col).alias("text"))
     words = texts.withColumn("w", template(F.col("text")))
-    met = (words.select("t1", "t2", F.explode(_windows("w", STRIDE)).alias("p")).select("t1", "t2", F.col("p.h").alias("h"))
+    met = (words.select("t1", "t2", F.explode(_windows("w")).alias("p")).select("t1", "t2", F.col("p.h").alias("h"))
            .join(hashes, "h", "left_semi").select("t1", "t2").distinct())
     met = scratch.save(met, "met")
     near = texts.join(_sized(met), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     near = scratch.save(near.select("t1", "t2", template(F.col("text")).alias("w"), fillings(F.col("text")).alias("v")), "near")
-    here = near.select("t1", "t2", "w", "v", F.explode(_windows("w", 1)).alias("p")).select(
+    here = near.select("t1", "t2", "w", "v", F.explode(_windows("w")).alias("p")).select(
         "t1", "t2", F.col("p.at").alias("at"), F.col("p.h").alias("h"),
         F.slice("w", F.col("p.at") + 1, F.lit(WINDOW)).alias("doc_w"), F.slice("v", F.col("p.at") + 1, F.lit(WINDOW)).alias("doc_v"))
     hits = here.join(_sized(parts), "h").where("doc_w = item_w")

@@ -250,6 +250,15 @@ def test_leaks_templates(spark, make_docs, edge_rows, empty):
     assert left.count() == len(rows) - 4 and "t1" in left.columns
 
 
+def test_leaks_at_every_offset(spark, make_docs):
+    names = "Ann 5 Bob 6 Eve 7 Tim 8"  # windows over these have too few plain words
+    items = [(n, " ".join("xyz"[n - 8] + 3 * chr(97 + k) for k in range(n))) for n in (8, 9, 10)]
+    items.append((20, f"{names} how many red apples are left {names}"))
+    rows = [(10 * n + at, prose(n, 20 + at) + " " + x + " " + prose(n + 1, 20)) for n, x in items for at in range(4)]
+    got = contaminated(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter((10 * n + at, n) for n, _ in items for at in range(4))
+
+
 # -- near duplicates ----------------------------------------------------------------------
 
 def _groups(df):
