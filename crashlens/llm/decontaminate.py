@@ -2,11 +2,14 @@
 
 Numbers, units after numbers and capitalised names become typed placeholders, so that a question
 whose slots were filled anew keeps its template.  Documents are met through hashes of
-8-word template windows, and a match counts where the slots' fillings correspond.
+8-word template windows, and a match counts where the slots' fillings correspond.  Beside
+the templates, items are found by verbatim runs of words, short items as a whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l ms s sec min h hr ho
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 WINDOW = 8
 MIN_LITERALS = 4
+VERBATIM = 13  # words of a verbatim run
+SIGNS = "=+<>*^×÷/−-"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -44,9 +49,28 @@ def fillings(text: Column) -> Column:
         _marked(text, True), F.lit(r"\x02[0-9.,:/]+|\x03%|[\p{L}\p{M}\p{N}\x01\x03]+"), F.lit(0))
 
 
+def exact(text: Column) -> Column:
+    """The words of ``fillings`` without punctuation after numbers, each after the signs of
+    arithmetic that stand alone before it."""
+    words = F.regexp_extract_all(_marked(text, True), F.lit(
+        rf"(?:[{SIGNS}]\s+)*(?:\x02[0-9.,:/]+|\x03%|[\p{{L}}\p{{M}}\p{{N}}\x01\x03]+)"), F.lit(0))
+    return F.transform(words, lambda x: F.rtrim(F.translate(x, " \t\n\x0b\f\r", ""), F.lit(".,:/")))
+
+
+def _runs(words: str, n: Column) -> Column:
+    """array<struct<at, len, h, x>> of the runs of ``n`` words, without signs before the first."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+
+    def run(i: Column) -> Column:
+        x = F.concat(F.array(F.ltrim(F.get(words, i), F.lit(SIGNS))), F.slice(F.col(words), i + 2, n - 1))
+        return F.struct(i.alias("at"), n.alias("len"), F.xxhash64(x).alias("h"), x.alias("x"))
+
+    return F.transform(starts, run)
+
+
 def _windows(words: str) -> Column:
     """array<struct<at, h>> of the windows, one at every word that has enough after it."""
-    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW))
+    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(
         i.alias("at"), F.xxhash64(F.slice(F.col(words), i + 1, F.lit(WINDOW))).alias("h")))
 
@@ -63,16 +87,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, text_co
     An item is held if ``min_cover`` of its template windows, those with at least
     ``MIN_LITERALS`` plain words, stand in the text.  Along each run of aligned windows, equal
     fillings of the item must meet equal fillings of the text; runs where they do not are
-    left out.  Texts are first met by the hashes of their windows at every word, so any shared
+    left out.
+
+    An item is also held if any run of ``VERBATIM`` of its words stands verbatim in the text, but
+    for runs aligned with such unequal fillings, or, with fewer words, if the whole item
+    does, however short it is.  Verbatim is up to case, white space and punctuation; capitalised
+    words, numbers, units and signs of arithmetic between words must agree.  ``n_windows`` counts
+    template windows; ``cover`` is their share, or that of the verbatim runs if the item has no
+    such window.  Texts are first met by the hashes of their windows at every word, so any shared
     window is found wherever it stands; windows are compared word by word in texts so met.
 
-    Items of fewer than ``WINDOW`` words, or without such windows, are too little evidence and
-    match nothing.  Null or empty texts hold nothing; equal texts and repeated items
+    Items without words match nothing.  Null or empty texts hold nothing; equal texts and repeated items
     are judged once.  Empty tables: no rows.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropDuplicates()
-    items = items.select("item", template(F.col("text")).alias("w"), fillings(F.col("text")).alias("v"))
+    items = items.select("item", template(F.col("text")).alias("w"), fillings(F.col("text")).alias("v"),
+                         exact(F.col("text")).alias("e"))
+    every = items.select(F.explode(_windows("w")).alias("p")).select("p.h")
+    size = F.least(F.size("e"), F.lit(VERBATIM))
+    runs = items.where(F.size("e") > 0).select("item", (F.size("e") - size + 1).alias("runs"), F.explode(_runs("e", size)).alias("r"))
+    runs = runs.select("item", "runs", "r.*")
+    runs = scratch.save(runs.withColumnRenamed("at", "item_at"), "runs")
+    lengths = sorted(r[0] for r in runs.select("len").distinct().collect())  # at most VERBATIM
     parts = items.select("item", "w", "v", F.explode(_windows("w")).alias("p"))
     plain = F.size(F.filter(F.slice("w", F.col("p.at") + 1, F.lit(WINDOW)), lambda x: x > F.lit("\x04")))
     parts = scratch.save(parts.where(plain >= MIN_LITERALS).select(
@@ -80,16 +117,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, text_co
         F.slice("w", F.col("p.at") + 1, F.lit(WINDOW)).alias("item_w"),
         F.slice("v", F.col("p.at") + 1, F.lit(WINDOW)).alias("item_v")), "items")
     whole = parts.groupBy("item").agg(F.count_distinct("item_at").alias("of"))
-    hashes = _sized(parts.select("h").distinct())
+    # a verbatim run of WINDOW words or more shares a template window
+    hashes = _sized(every.union(runs.where(F.col("len") < WINDOW).select("h")).distinct())
 
     texts = docs.select(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("text"), F.col(text_col)).alias("t2"),
                         F.col(text_col).alias("text"))
-    words = texts.withColumn("w", template(F.col("text")))
-    met = (words.select("t1", "t2", F.explode(_windows("w")).alias("p")).select("t1", "t2", F.col("p.h").alias("h"))
+    words = texts.withColumns({"w": template(F.col("text")), "e": exact(F.col("text"))})
+    seen = F.concat(*[F.transform(x, lambda p: p["h"]) for x in (
+        _windows("w"), *[_runs("e", F.lit(n)) for n in lengths if n < WINDOW])])
+    met = (words.select("t1", "t2", F.explode(seen).alias("h"))
            .join(hashes, "h", "left_semi").select("t1", "t2").distinct())
     met = scratch.save(met, "met")
     near = texts.join(_sized(met), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    near = scratch.save(near.select("t1", "t2", template(F.col("text")).alias("w"), fillings(F.col("text")).alias("v")), "near")
+    near = scratch.save(near.select("t1", "t2", template(F.col("text")).alias("w"), fillings(F.col("text")).alias("v"),
+                                    exact(F.col("text")).alias("e")), "near")
     here = near.select("t1", "t2", "w", "v", F.explode(_windows("w")).alias("p")).select(
         "t1", "t2", F.col("p.at").alias("at"), F.col("p.h").alias("h"),
         F.slice("w", F.col("p.at") + 1, F.lit(WINDOW)).alias("doc_w"), F.slice("v", F.col("p.at") + 1, F.lit(WINDOW)).alias("doc_v"))
@@ -102,9 +143,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, text_co
     good = hits.join(clash, run, "left_anti")
     held = good.groupBy("t1", "t2", "item").agg(
         F.count_distinct("item_at").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"))
-    held = held.join(whole, "item").where(F.col("n_windows") >= min_cover * F.col("of"))
-    return scratch.save(held.select("t1", "t2", "item", "n_windows", (F.col("n_windows") / F.col("of")).alias("cover"),
-                                    F.col("n_slots").cast("long").alias("n_slots")), "held")
+    held = held.join(whole, "item")
+
+    same = reduce(DataFrame.unionByName, [near.select("t1", "t2", F.explode(_runs("e", F.lit(n))).alias("r")).select("t1", "t2", "r.*")
+                                          for n in lengths or [VERBATIM]])
+    same = same.join(_sized(runs.withColumnsRenamed({"h": "item_h", "len": "item_len", "x": "item_x"})),
+                     (F.col("h") == F.col("item_h")) & (F.col("len") == F.col("item_len"))).where("x = item_x")
+    same = same.withColumn("run", F.col("at") - F.col("item_at"))
+    same = same.where("runs = 1").unionByName(same.where("runs > 1").join(clash, run, "left_anti"))
+    slots = F.size(F.filter("x", lambda x: F.ltrim(x, F.lit(SIGNS)) < F.lit("\x04")))
+    same = same.groupBy("t1", "t2", "item").agg((F.count_distinct("item_at") / F.max("runs")).alias("share"), F.max(slots).alias("n_same"))
+    held = held.join(same, ["t1", "t2", "item"], "full").where((F.col("n_windows") >= min_cover * F.col("of")) | F.col("share").isNotNull())
+    return scratch.save(held.select(
+        "t1", "t2", "item", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"),
+        F.coalesce(F.col("n_windows") / F.col("of"), "share").alias("cover"),
+        F.coalesce("n_slots", "n_same").cast("long").alias("n_slots")), "held")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -259,6 +259,19 @@ def test_leaks_at_every_offset(spark, make_docs):
     assert Counter((r.doc_id, r.item_id) for r in got) == Counter((10 * n + at, n) for n, _ in items for at in range(4))
 
 
+def test_leaks_verbatim(spark, make_docs):
+    short, sums, long = "What is the capital of Peru?", "12 + 7 = 19", prose(8, 59).translate(str.maketrans("0123456789", "abcdefghij"))
+    many = "Ann 5 Bob 6 Eve 7 Tim 8 Kim 9 Lea 3 Max 4 Zoe 2"  # no window has four plain words
+    part = " ".join(long.split()[30:55])
+    items = spark.createDataFrame([(1, short), (2, sums), (3, long), (4, many), (5, "...")], "item_id long, text string")
+    rows = [(1, f"Well: {short} Lima."), (2, "so - 12 + 7 = 19."), (3, "so 12 - 7 = 19"), (4, f"{prose(9, 33)} {part} {prose(10, 40)}"),
+            (5, f"{prose(11, 9)} {many}, {prose(12, 9)}"), (6, many.replace("6", "1").replace("Lea", "Pia")),
+            (7, "What is the capital of Chile?"), (8, f"{prose(13, 9)} {' '.join(long.split()[40:46])} {prose(14, 9)}")]
+    got = contaminated(make_docs(rows), items).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(1, 1), (2, 2), (4, 3), (5, 4)])
+    assert {r.doc_id: r.cover < 0.5 for r in got} == {1: False, 2: False, 4: True, 5: False}
+
+
 # -- near duplicates ----------------------------------------------------------------------
 
 def _groups(df):
