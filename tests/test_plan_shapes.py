@@ -1,14 +1,14 @@
-"""Plan audit of every registered query (guards the scale properties)."""
+"""Plan audit of every query of the analytics catalogue (guards the scale properties)."""
 
 import os
 import re
 
 import pytest
 
-import __spark_entry__ as E
+from crashlens import catalog
 
 SF = os.environ.get("CRASHLENS_ORACLE_SF", "/root/testdata/sf0.01")
-BATCH = [n for n in E.queries() if not n.startswith("stream")]
+BATCH = [n for n in catalog.queries() if not n.startswith("stream")]
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
              "ArrowEvalPython", "FlatMapGroupsInPandas"]
 # look-back keys: their scan must carry the created_at bound and prune dates
@@ -19,7 +19,7 @@ LOOKBACK = ["q02", "q03", "q07", "q13", "q14", "q15", "q16", "q17", "q18", "q19"
 
 def executed(spark, name):
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")  # untruncated filter lists
-    df = E.queries()[name](spark, SF)
+    df = catalog.queries()[name](spark, SF)
     df.write.format("noop").mode("overwrite").save()
     return df._jdf.queryExecution().executedPlan().toString()
 
