@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crashlens.llm.chat import render_chats
 from crashlens.llm.decontaminate import contaminated
 from crashlens.llm.line_dedup import dedup_lines
+from crashlens.llm.manifest import fold, manifest, path_digest, tampered
 from crashlens.llm.minhash import near_duplicates
 from crashlens.llm.mixing import mix
 from crashlens.llm.oracle import ORACLE
@@ -69,9 +70,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("m.size") * F.col("m.copies")).alias("taken"), "m.copies")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest(_read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"), tamper=tampered())
+    folded = out.withColumn("folded_root", fold(F.col("claimed"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (op1_line_dedup, op2_chat_format, op3_token_counts, op4_sharding, op5_url_filter, op6_quality_rules,
-            op7_decontamination, op8_minhash_dedup, op9_substring_dedup, op10_mixing)
+            op7_decontamination, op8_minhash_dedup, op9_substring_dedup, op10_mixing, op13_merkle_manifest)
     return {f.__name__: f for f in made}
 
 

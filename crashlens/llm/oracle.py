@@ -57,4 +57,60 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM h
 """
 
-ORACLE = {"op1_line_dedup": LINE_DEDUP, "op2_chat_format": CHAT_FORMAT, "op4_sharding": SHARDING}
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE c AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+framed AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+        coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS chars,
+        coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR, '-') AS more_chars,
+        coalesce(strlen(text) || ':' || text, '-') AS body,
+        coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+            regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda b: ('0x' || b)::BIGINT)),
+            lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) % 7 = 0, false) AS tampered
+    FROM documents, c),
+leaves AS (
+    SELECT rid, doc_id, lang, sha256(front || chars || body) AS leaf,
+        sha256(front || CASE WHEN tampered THEN more_chars ELSE chars END || body) AS claimed
+    FROM framed),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i,
+        count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves),
+up(lang, lvl, i, h, n) AS (
+    SELECT lang, 0, i, leaf, n FROM placed
+    UNION ALL
+    SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2
+    FROM up WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+named AS (
+    SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+    FROM up WHERE n = 1),
+crown(lvl, i, h, n) AS (
+    SELECT 0, i, subroot, n FROM named
+    UNION ALL
+    SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2
+    FROM crown WHERE n > 1 GROUP BY lvl, i // 2, n),
+climb(rid, lang, lvl, i, n, h, proof) AS (
+    SELECT rid, lang, 0, i, n, claimed, '' FROM placed
+    UNION ALL
+    SELECT a.rid, a.lang, a.lvl + 1, a.i // 2, (a.n + 1) // 2,
+        sha256(CASE WHEN a.i % 2 = 1 THEN s.h || a.h ELSE a.h || coalesce(s.h, '') END), a.proof || coalesce(s.h, '')
+    FROM climb a LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM a.lang AND s.lvl = a.lvl AND s.i = xor(a.i, 1)
+    WHERE a.n > 1),
+climb_crown(rid, lvl, i, n, h, proof) AS (
+    SELECT a.rid, 0, s.i, s.n, a.h, a.proof FROM climb a JOIN named s ON s.lang IS NOT DISTINCT FROM a.lang WHERE a.n = 1
+    UNION ALL
+    SELECT a.rid, a.lvl + 1, a.i // 2, (a.n + 1) // 2,
+        sha256(CASE WHEN a.i % 2 = 1 THEN s.h || a.h ELSE a.h || coalesce(s.h, '') END), a.proof || coalesce(s.h, '')
+    FROM climb_crown a LEFT JOIN crown s ON s.lvl = a.lvl AND s.i = xor(a.i, 1)
+    WHERE a.n > 1),
+top AS (SELECT h AS root FROM crown WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, top.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = top.root AS verified
+FROM placed p JOIN climb_crown f ON f.rid = p.rid AND f.n = 1 JOIN named s ON s.lang IS NOT DISTINCT FROM p.lang, top
+"""
+
+ORACLE = {"op1_line_dedup": LINE_DEDUP, "op2_chat_format": CHAT_FORMAT, "op4_sharding": SHARDING,
+          "op13_merkle_manifest": MERKLE_MANIFEST}
