@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crashlens.llm.align import align
 from crashlens.llm.chat import render_chats
+from crashlens.llm.classifier import classify
 from crashlens.llm.decontaminate import contaminated
 from crashlens.llm.line_dedup import dedup_lines
 from crashlens.llm.manifest import fold, manifest, path_digest, tampered
@@ -70,6 +72,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("m.size") * F.col("m.copies")).alias("taken"), "m.copies")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return out.select("row.doc_id", "q.*")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = manifest(_read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"), tamper=tampered())
     folded = out.withColumn("folded_root", fold(F.col("claimed"), F.col("path")))
@@ -79,7 +90,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (op1_line_dedup, op2_chat_format, op3_token_counts, op4_sharding, op5_url_filter, op6_quality_rules,
-            op7_decontamination, op8_minhash_dedup, op9_substring_dedup, op10_mixing, op13_merkle_manifest)
+            op7_decontamination, op8_minhash_dedup, op9_substring_dedup, op10_mixing, op11_quality_classifier,
+            op12_tokenizer_alignment, op13_merkle_manifest)
     return {f.__name__: f for f in made}
 
 
