@@ -711,3 +711,7 @@ def _stream_rollup_partials(spark, d):
     q1.awaitTermination()
     return (read_rollup_sums(spark, f"{root}/rollup")
             .withColumn("hour", F.col("hour").cast("timestamp_ntz")))
+
+
+# keys over tables kept by batches register themselves with ``register``
+from crashlens import catalog_tables  # noqa: E402, F401

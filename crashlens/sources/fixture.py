@@ -193,6 +193,13 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     return path
 
 
+def derived_root(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder below ``spark.checkpoint.dir`` for tables that this application keeps from the fact table."""
+    from crashlens.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/crashlens-{name}/{spark.sparkContext.applicationId}-{_fingerprint(sf_dir)}"
+
+
 def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table as the analytics see it, stored the way ingestion
     stores it: Parquet partitioned by ``created_date`` with the parsed
