@@ -24,13 +24,14 @@ from crashlens.functions.time import as_timestamp
 from crashlens.session import overwrite_partitions
 
 
-def hourly_rollup_stream(accepted: DataFrame, watermark: str | None = "10 minutes",
+def hourly_rollup_stream(accepted: DataFrame, watermark: str | None = None,
                          sketch: bool = True) -> DataFrame:
     """X4 (+X5): ``app_name, app_version, platform, hour, crash_count,
     unique_users[, users_sketch]`` from a stream of accepted reports.
 
-    With a ``watermark`` rows later than it are left out and old cells leave the state
-    store (append mode needs one); with ``None`` every late row is counted and cells stay.  ``write_rollup_partial`` counts late rows with no state."""
+    By default every late row is counted and cells stay in the state store.  With a ``watermark`` rows later than it
+    are left out and old cells leave the state (append mode needs one).  ``late.start_exact_rollup`` bounds the state
+    and loses no row; ``write_rollup_partial`` counts late rows with no state."""
     aggs = [F.count(F.lit(1)).alias("crash_count"),
             F.count(F.lit(1)).alias("unique_users")]
     if sketch:

@@ -52,7 +52,7 @@ def test_rollup_append_mode_emits_closed_hours_only(spark, tmp_path):
     acc.drop("hw").write.parquet(src)
     static = spark.read.parquet(src)
     stream = spark.readStream.schema(static.schema).parquet(src)
-    q = start_rollup(hourly_rollup_stream(stream, sketch=False), str(tmp_path / "rollup"),
+    q = start_rollup(hourly_rollup_stream(stream, watermark="10 minutes", sketch=False), str(tmp_path / "rollup"),
                      str(tmp_path / "ck"), output_mode="append")
     q.awaitTermination()
     got = read_rollup(spark, str(tmp_path / "rollup"))
