@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 PAIR_BITS = 24
 #: Links of one group that are listed singly; larger groups first count their equal ids.
 LISTED_LINKS = 4096
-#: First byte from which on a UTF-8 text holds a character above U+023F.
-_WIDE = 0xC9
+#: Characters beyond Latin letters.
+_WIDE = re.compile("[\u0240-\U0010ffff]")
 #: Fixed value: the public pre-tokenizer pattern of the byte-level vocabulary.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -79,8 +81,7 @@ class ByteTokenizer:
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast is None:
             return [e.ids for e in self.own.encode_batch(texts, add_special_tokens=False)]
-        wide = chr(0x240)
-        return [self.fast.encode_ordinary(t) if max(t, default="") < wide
+        return [self.fast.encode_ordinary(t) if _WIDE.search(t) is None
                 else self.own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -142,11 +143,9 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
         right = _next_common(a, b, middle)
         left = _last_common(a, b, middle - 1)
         found.append(right)  # the leaf group is (left, right]
-        lo, hi = np.concatenate([lo, right]), np.concatenate([left, hi])
+        lo, hi = np.stack([lo, right], 1).ravel(), np.stack([left, hi], 1).ravel()  # still ascending
         some = lo < hi
         lo, hi = lo[some], hi[some]
-        order = np.argsort(lo, kind="stable")
-        lo, hi = lo[order], hi[order]
     return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
@@ -158,6 +157,7 @@ class Aligned:
     """
 
     def __init__(self, texts: list[str | None], one: ByteTokenizer, two: PieceTokenizer):
+        self.width = max(len(one.pieces), len(two.pieces))
         a, b = self._tokens(texts, one, two)
         self.a, self.a_off = _flat(a)
         self.b, self.b_off = _flat(b)
@@ -208,9 +208,8 @@ class Aligned:
 
     def spelled(self) -> Iterator[str]:
         """Per document its groups as ``a1,a2|b1;a3|b2,b3``."""
-        width = int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1
-        marks = [[f"{i}{c}" for i in range(width)] for c in ",|;"]
-        shown = [*marks[0], *marks[1], *marks[2]]
+        width = self.width
+        shown = _shown_ids(width)
         # an A token moves behind the B tokens of earlier groups, a B token behind the A tokens up to its group's
         m, n = np.diff(self.ga), np.diff(self.gb)
         code = np.empty(len(self.a) + len(self.b), np.int64)
@@ -223,9 +222,15 @@ class Aligned:
             yield "".join(map(shown.__getitem__, code[lo:hi]))[:-1]
 
 
+@lru_cache(maxsize=2)
+def _shown_ids(width: int) -> list[str]:
+    """Every id below ``width`` with each of the marks that may follow it."""
+    return [f"{i}{c}" for c in ",|;" for i in range(width)]
+
+
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-    return np.fromiter((x for part in lists for x in part), np.int64, off[-1]), off
+    return np.fromiter(chain.from_iterable(lists), np.int64, off[-1]), off
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
