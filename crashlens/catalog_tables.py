@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens import plans as P
-from crashlens.catalog import APP, _SQL, register
+from crashlens.catalog import APP, _SQL, _stream_run, _stream_status, register
 from crashlens.operators import read_rollup_table, refresh_rollup
 from crashlens.operators.error_sketch import read_error_sketches, top_errors_from_sketches, update_error_sketches
 from crashlens.operators.moments import hour_moments, spikes_by_hour, trailing_baseline
@@ -23,6 +23,7 @@ from crashlens.oracle import q, ratio
 from crashlens.plans import from_cube as C
 from crashlens.session import checkpoint_dir
 from crashlens.sources.fixture import AS_OF, crash_table, derived_root
+from crashlens.streaming import use_rocksdb
 from crashlens.streaming.late import hourly_alerts, read_exact_rollup, start_exact_rollup, users_by
 
 _BUILT: dict[tuple, object] = {}
@@ -193,3 +194,16 @@ def _stream_hourly_spikes(spark, d):
     """X8 over four micro-batches: each hour is judged when it closes, by the rule of Q28 at that hour."""
     root = _exact_rollup(spark, d, "arrival", alerts=True)
     return spark.read.parquet(f"{root}/alerts").drop("batch_id")
+
+
+@register("stream_ingest_status_minute_state", _SQL["stream_ingest_status"])
+def _stream_ingest_status_minutes(spark, d):
+    """X6 as expiring state per client and minute, behind each task's own first requests."""
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")
+    before = {n: spark.conf.get(n, None) for n in names}
+    use_rocksdb(spark)
+    try:
+        return _stream_status(*_stream_run(spark, d, limiter="minutes")[1:])
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)

@@ -22,6 +22,7 @@ from crashlens.schema import (
 )
 from crashlens.session import prepare
 from crashlens.streaming.limiter import ledger_prior, rate_limit_stream, record_admitted
+from crashlens.streaming.minute_limiter import rate_limit_minutes
 from crashlens.streaming.rollup import write_rollup_partial
 
 
@@ -36,11 +37,12 @@ def read_report_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def admit_stream(stream: DataFrame, *, secret: str | None,
-                 limit_per_minute: int | None = RATE_LIMIT_PER_MINUTE, **kw) -> DataFrame:
-    """Streaming admission (stateful limiter, then the batch rules)."""
+                 limit_per_minute: int | None = RATE_LIMIT_PER_MINUTE, limiter: str = "state", **kw) -> DataFrame:
+    """Streaming admission (stateful limiter, then the batch rules).  ``limiter="minutes"`` keeps one expiring
+    state row per client and minute (``minute_limiter``), ``"state"`` one per client."""
     if limit_per_minute is None:
         return admit(stream, secret=secret, limit_per_minute=None, **kw)
-    limited = rate_limit_stream(stream, limit=limit_per_minute)
+    limited = (rate_limit_minutes if limiter == "minutes" else rate_limit_stream)(stream, limit=limit_per_minute)
     return admit(limited, secret=secret, limit_per_minute=None,
                  precomputed_limit=True, **kw)
 
@@ -53,16 +55,17 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, *, secret: str |
 
     ``limiter="ledger"`` (default) rate-limits each micro-batch with the
     skew-safe batch operator and a ledger of earlier batches' counts
-    (``ledger_prior`` / ``record_admitted``, no Python); ``limiter="state"`` uses the
-    stateful ``applyInPandasWithState`` limiter inside the stream.
+    (``ledger_prior`` / ``record_admitted``, no Python); ``limiter="minutes"`` uses state with a
+    lifetime per client and minute (call ``use_rocksdb`` first), ``limiter="state"`` the stateful
+    ``applyInPandasWithState`` limiter, one group a client.
     ``files_per_date`` spreads each arrival date of a batch over that many
     writer tasks (for backfills whose batches span many days); by default a
     task writes one file per date it holds.  With ``rollup_path`` each
     batch also writes its partial hourly rollup cells there
     (``read_rollup_sums`` adds them up).
     """
-    if limiter == "state" or limit_per_minute is None:
-        admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, **kw)
+    if limiter in ("state", "minutes") or limit_per_minute is None:
+        admitted = admit_stream(stream, secret=secret, limit_per_minute=limit_per_minute, limiter=limiter, **kw)
 
         def write(batch: DataFrame, batch_id: int) -> None:
             write_admitted(batch, root, batch_id, files_per_date, rollup_path)

@@ -144,25 +144,3 @@ def record_admitted(passed: DataFrame, ledger: str, batch_id: int) -> None:
                     .agg(F.count(F.lit(1)).alias("admitted"))
                     .withColumn("batch_id", F.lit(batch_id)))
     overwrite_partitions(counts, "batch_id").parquet(ledger)
-
-
-def limit_micro_batch(batch: DataFrame, ledger: str, batch_id: int,
-                      limit: int = RATE_LIMIT_PER_MINUTE) -> DataFrame:
-    """Exact rate limit of one micro-batch inside ``foreachBatch``.
-
-    JVM-only alternative to ``rate_limit_stream``: the batch operator
-    (partial top-k per task, cut-off join; skew-safe) runs on the
-    micro-batch, continuing from a ledger of requests admitted by earlier
-    batches (``client_key, minute, admitted``, one partition per batch).
-    Earlier batches are read as ``batch_id < this one`` and this batch's
-    partition is overwritten, so a replayed batch recomputes exactly its own
-    counts.  Returns the limited rows, persisted (the caller unpersists).
-    """
-    from pyspark import StorageLevel
-
-    from crashlens.operators.guards import rate_limit
-
-    prior = ledger_prior(batch, ledger, batch_id)
-    out = rate_limit(batch, limit=limit, prior=prior).persist(StorageLevel.MEMORY_AND_DISK)
-    record_admitted(out.where(~F.col("rate_limited")), ledger, batch_id)
-    return out
