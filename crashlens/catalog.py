@@ -713,5 +713,5 @@ def _stream_rollup_partials(spark, d):
             .withColumn("hour", F.col("hour").cast("timestamp_ntz")))
 
 
-# keys over tables kept by batches register themselves with ``register``
-from crashlens import catalog_tables  # noqa: E402, F401
+# further keys, over tables kept by batches and over dirty envelopes, register themselves with ``register``
+from crashlens import catalog_dirty, catalog_tables  # noqa: E402, F401

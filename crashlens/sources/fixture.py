@@ -159,7 +159,7 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build,
-                 partition_by: str | None = None, files_per_value: int | None = 2) -> str:
+                 partition_by: str | None = None, files_per_value: int | None = 2, fmt: str = "parquet") -> str:
     """Path of a table derived from the driver tables, written once.
 
     The folder lives under the session's shared ``spark.checkpoint.dir``
@@ -185,7 +185,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
         writer = rows.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(staging)
+        writer.format(fmt).save(staging)
         fs.mkdirs(target.getParent())
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
             fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
