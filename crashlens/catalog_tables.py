@@ -8,21 +8,26 @@ that key's DuckDB formulation.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens import plans as P
-from crashlens.catalog import APP, _SQL, _stream_run, _stream_status, register
+from crashlens.catalog import APP, COLS, _SQL, _stream_run, _stream_status, register
 from crashlens.operators import read_rollup_table, refresh_rollup
+from crashlens.operators.error_days import advance_error_days, build_error_days, new_errors_of_day
 from crashlens.operators.error_sketch import read_error_sketches, top_errors_from_sketches, update_error_sketches
 from crashlens.operators.moments import hour_moments, spikes_by_hour, trailing_baseline
 from crashlens.operators.user_cube import UserCube, update_user_cube
-from crashlens.oracle import q, ratio
+from crashlens.oracle import q, ratio, ts
 from crashlens.plans import from_cube as C
+from crashlens.plans.paging import page_at, refresh_page_index
 from crashlens.session import checkpoint_dir
 from crashlens.sources.fixture import AS_OF, crash_table, derived_root
+from crashlens.sources.reports import register_views
+from crashlens.sources.sql_functions import register_functions
 from crashlens.streaming import use_rocksdb
 from crashlens.streaming.late import hourly_alerts, read_exact_rollup, start_exact_rollup, users_by
 
@@ -207,3 +212,92 @@ def _stream_ingest_status_minutes(spark, d):
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+# ------------------------------------------------------------------ pages ----
+
+
+def _page_index(spark: SparkSession, sf_dir: str) -> str:
+    root = derived_root(spark, sf_dir, "page-index")
+    if root not in _BUILT:
+        refresh_page_index(crash_table(spark, sf_dir), root)
+        _BUILT[root] = root
+    return root
+
+
+_PAGE = (f"FROM crash_reports WHERE app_name = '{APP}' AND created_at > {ts(days=30)}")
+
+
+@register("paged_c1_read_page", _SQL["c1_read_page"])
+def _paged_c1(spark, d):
+    """C-1 by the count index: only the page's dates are read."""
+    return page_at(crash_table(spark, d), _page_index(spark, d), app=APP, as_of=AS_OF, days=30, limit=25, offset=10).rows
+
+
+@register("paged_deep_page", q(f"SELECT {COLS} {_PAGE} ORDER BY created_at DESC, id LIMIT 100 OFFSET 1500"))
+def _paged_deep(spark, d):
+    """A deep page reads as few dates as the first one."""
+    return page_at(crash_table(spark, d), _page_index(spark, d), app=APP, as_of=AS_OF, days=30, limit=100, offset=1500).rows
+
+
+@register("paged_totals", q(f"SELECT o AS offset, COUNT(*) AS total, o + 100 < COUNT(*) AS has_more {_PAGE.replace(' WHERE', ', range(0, 4000, 500) t(o) WHERE')} GROUP BY o"))
+def _paged_totals(spark, d):
+    """Exact total and ``has_more`` of pages at several depths."""
+    facts, index = crash_table(spark, d), _page_index(spark, d)
+    pages = {o: page_at(facts, index, app=APP, as_of=AS_OF, days=30, limit=100, offset=o) for o in range(0, 4000, 500)}
+    return spark.createDataFrame([(o, p.total, p.has_more) for o, p in pages.items()], "offset long, total long, has_more boolean")
+
+
+# ------------------------------------------------------------- new errors ----
+
+
+def _error_days(spark: SparkSession, sf_dir: str) -> str:
+    """Snapshots of the 25th, built from its 31 days, and of the days after, each from the one before."""
+    root = derived_root(spark, sf_dir, "error-days")
+    if root not in _BUILT:
+        facts = crash_table(spark, sf_dir)
+        build_error_days(facts, root, "2024-01-25")
+        for day in range(26, 31):
+            advance_error_days(facts, root, f"2024-01-{day}")
+        _BUILT[root] = root
+    return root
+
+
+@register("daily_new_errors", q(ctes="""
+seen AS (
+  SELECT DISTINCT LEFT(error_message, 100) AS prefix, CAST(created_at AS DATE) AS day FROM crash_reports WHERE error_message IS NOT NULL),
+fresh AS (
+  SELECT prefix, day FROM (
+    SELECT prefix, day, LAG(day) OVER (PARTITION BY prefix ORDER BY day) AS last_seen FROM seen)
+  WHERE day >= DATE '2024-01-25' AND (last_seen IS NULL OR last_seen < day - 30))""", body="""
+SELECT f.day, f.prefix AS new_error, COUNT(*) AS occurrences
+FROM fresh f JOIN crash_reports r ON LEFT(r.error_message, 100) = f.prefix AND CAST(r.created_at AS DATE) = f.day
+GROUP BY f.day, f.prefix"""))
+def _daily_new_errors(spark, d):
+    """Q29 for each of the last days as reference day, from day masks and one day of facts each."""
+    facts, path = crash_table(spark, d), _error_days(spark, d)
+    days = [f"2024-01-{day}" for day in range(25, 31)]
+    parts = [new_errors_of_day(facts, path, x).withColumn("day", F.lit(x).cast("date")) for x in days]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ---------------------------------------------------- SQL table functions ----
+
+
+def _from_sql(key: str, call: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_views(spark, crash_table(spark, sf_dir), _rollup_table(spark, sf_dir))
+        register_functions(spark)
+        return spark.sql(f"SELECT * FROM {call}")
+    run.__doc__ = f"Rows of ``{key}`` by a SQL table function over the views."
+    register(f"sql_{key}", _SQL[key])(run)
+
+
+_NOW = f"TIMESTAMP_NTZ '{AS_OF}'"
+_from_sql("r01_recent_by_app_7d", f"recent_by_app({_NOW}, 7)")
+_from_sql("q03_hourly_trend", f"hourly_trend({_NOW}, 7)")
+_from_sql("q07_platform_daily", f"platform_daily({_NOW}, 30)")
+_from_sql("q09_errors_for_app", f"errors_for_app('{APP}', 80)")
+_from_sql("q26_top_apps", f"top_apps({_NOW}, 7)")
+_from_sql("q27_platform_rates", f"platform_rates({_NOW}, 30)")
+_from_sql("q23_repeat_users", "repeat_users(5)")

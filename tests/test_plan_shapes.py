@@ -28,7 +28,7 @@ def executed(spark, name):
 def test_no_forbidden_operators(spark, name):
     plan = executed(spark, name)
     assert not [op for op in FORBIDDEN if op in plan]
-    assert plan.count("FileScan") <= 2 or name.startswith(("c2", "cube_", "sketch_", "rollup_", "spikes_"))
+    assert plan.count("FileScan") <= 2 or name.startswith(("c2", "cube_", "sketch_", "rollup_", "spikes_", "daily_"))
 
 
 @pytest.mark.parametrize("name", [n for n in BATCH if n.split("_")[0] in LOOKBACK])
