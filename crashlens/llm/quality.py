@@ -19,6 +19,8 @@ COMMON_WORDS = {
     "es": "el la los las de y que en un una se del por con para su al es lo como no más".split(),
 }
 SYMBOLS = "#*$%&|<>"
+#: References up to this size are broadcast; more languages than fit are met by an ordinary join.
+BROADCAST_BYTES = 8 << 20
 CLASSES = ("lower", "upper", "digit", "white", "stop", "symbol", "other", "beyond")
 
 _CLASS = np.full(256, CLASSES.index("other"), np.uint8)
@@ -108,23 +110,24 @@ def judge(docs: DataFrame, max_char_distance: float = 0.28, max_word_distance: f
           lang_col: str = "lang") -> DataFrame:
     """``row`` (a struct of all columns of ``docs``) and ``q``: base counts, distances, verdict.
 
-    A language's first references are the mean histograms over all its documents that pass
+    A language's first references are, bin by bin, the medians of the histograms of all its documents that pass
     the base rules (at least ``min_words`` words, at most ``max_repeat_percent`` of them
-    in repeated 3-word windows); the second are the means over those of them that lie
-    within both distances of the first, so that junk does not bend them.  A document is kept
-    if it passes the base rules and lies within both distances of the second.  Languages without a list of common
-    words share one reference of character classes.  The word distance is judged for
-    texts of at least twice ``min_words`` words, so that chance does not decide.
-
-    Null text has no words and fails the base rules; null language counts as without a
-    list.  Repeated rows are judged alike.  Empty table: no rows.  Extra columns of any name stay in ``row``.
+    in repeated 3-word windows), so that up to half of them may be junk; the second are the means over those that lie
+    within both distances of the first.  A document is kept if it passes the base rules and lies within both
+    distances of the second.  Where no document lies near the first references these stay, and all are
+    rejected.  Every value of the language column, null too, has references of its own; the word distance is judged for
+    languages with a list of common words and texts of at least twice ``min_words`` words, so that chance does not decide.
+
+    Null text has no words and fails the base rules; without a reference (no document of the language passes them)
+    the distance is 1.  Very long texts are read whole, repeated rows are judged alike.  Empty table: no rows.  Extra
+    columns of any name stay in ``row``.
     """
     words = COMMON_WORDS if words is None else words
     features, width = measure(words)
     scratch = Scratch(docs.sparkSession, "quality")
     lang = F.col(lang_col)
     measured = scratch.save(docs.select(F.struct("*").alias("row"), F.struct(
-        F.when(lang.isin(sorted(words)), lang).otherwise("").alias("ref"),
+        lang.alias("ref"), F.coalesce(lang.isin(sorted(words)), F.lit(False)).alias("listed"),
         features(F.col(text_col), lang).alias("f")).alias("q")), "measured")
     f = F.col("q.f")
     failed = (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeat_percent * f["n_words"])
@@ -135,12 +138,24 @@ def judge(docs: DataFrame, max_char_distance: float = 0.28, max_word_distance: f
     chars = share(f["chars"], F.aggregate(f["chars"], F.lit(0).cast("long"), lambda s, x: s + x))
     hits = F.aggregate(f["common"], F.lit(0).cast("long"), lambda s, x: s + x)
     common = share(F.concat(f["common"], F.array(f["n_words"] - hits)), f["n_words"])
-    rows = measured.select("row", F.col("q.ref").alias("_ref"), f.alias("_f"), failed.alias("_failed"),
-                           chars.alias("_chars"), common.alias("_common"))
+    rows = measured.select("row", F.col("q.ref").alias("_ref"), F.col("q.listed").alias("_listed"), f.alias("_f"),
+                           failed.alias("_failed"), chars.alias("_chars"), common.alias("_common"))
+    bins = [(c, i) for c, n in (("_chars", _INNER), ("_common", width + 1)) for i in range(n)]
+
+    def centres(kept: DataFrame) -> DataFrame:
+        """Medians by language, in whole thousandths (exact, and of bounded size while they are gathered), scaled to 1."""
+        medians = kept.groupBy("_ref").agg(*[
+            F.percentile(F.round(F.col(c)[i] * 1000), 0.5).alias(f"{c}{i}") for c, i in bins])
+
+        def scaled(of: str) -> Column:
+            values = F.array(*[F.col(f"{c}{i}") for c, i in bins if c == of])
+            return share(values, F.aggregate(values, F.lit(0.0), lambda s, x: s + x))
+
+        return scratch.save(medians.select(F.col("_ref").alias("_lang"), *[
+            scaled(c).alias(f"{c}_ref") for c in ("_chars", "_common")]), "first")
+
     def references(kept: DataFrame, name: str) -> DataFrame:
-        """Mean histograms by list of words: one row for each list, and one more.
-        Sums of whole millionths, so that reruns agree to the last bit."""
-        bins = [(c, i) for c, n in (("_chars", _INNER), ("_common", width + 1)) for i in range(n)]
+        """Mean histograms by language.  Sums of whole millionths, so that reruns agree to the last bit."""
         sums = kept.groupBy("_ref").agg(F.count("*").alias("_docs"), *[
             F.sum(F.round(F.col(c)[i] * 1_000_000).cast("long")).alias(f"{c}{i}") for c, i in bins])
         return scratch.save(sums.select(F.col("_ref").alias("_lang"), *[
@@ -148,17 +163,22 @@ def judge(docs: DataFrame, max_char_distance: float = 0.28, max_word_distance: f
             for c in ("_chars", "_common")]), name)
 
     def compared(refs: DataFrame) -> DataFrame:
-        joined = rows.join(F.broadcast(refs), F.col("_ref") == F.col("_lang"), "left")
-        unjudged = (F.col("_ref") == "") | (F.col("_f.n_words") < 2 * min_words)
+        if refs.count() * len(bins) * 8 <= BROADCAST_BYTES:  # one row a language
+            refs = F.broadcast(refs)
+        joined = rows.join(refs, F.col("_ref").eqNullSafe(F.col("_lang")), "left")
+        unjudged = ~F.col("_listed") | (F.col("_f.n_words") < 2 * min_words)
         return joined.withColumns({
-            "_char_d": F.coalesce(_distance(F.col("_chars"), F.col("_chars_ref")), F.lit(0.0)),
+            "_char_d": F.coalesce(_distance(F.col("_chars"), F.col("_chars_ref")), F.lit(1.0)),
             "_word_d": F.when(unjudged, F.lit(0.0)).otherwise(
-                F.coalesce(_distance(F.col("_common"), F.col("_common_ref")), F.lit(0.0)))})
+                F.coalesce(_distance(F.col("_common"), F.col("_common_ref")), F.lit(1.0)))})
 
     near = ~F.col("_failed") & (F.col("_char_d") <= max_char_distance) & (F.col("_word_d") <= max_word_distance)
-    first = references(rows.where(~F.col("_failed")), "first")
-    refs = references(compared(first).where(near), "refs")
-    return compared(refs).select("row", F.struct(
+    first = centres(rows.where(~F.col("_failed")))
+    trimmed = references(compared(first).where(near), "trimmed")
+    again = trimmed.select(F.col("_lang").alias("_same"), *[F.col(f"{c}_ref").alias(f"{c}_mean") for c in ("_chars", "_common")])
+    refs = first.join(again, F.col("_lang").eqNullSafe(F.col("_same")), "left").select(
+        "_lang", *[F.coalesce(f"{c}_mean", f"{c}_ref").alias(f"{c}_ref") for c in ("_chars", "_common")])
+    return compared(scratch.save(refs, "refs")).select("row", F.struct(
         *[F.col("_f")[c].alias(c) for c in _COUNTS],
         F.col("_failed").alias("base_failed"), F.col("_char_d").alias("char_distance"),
         F.col("_word_d").alias("word_distance"), near.alias("kept")).alias("q"))

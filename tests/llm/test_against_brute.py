@@ -223,6 +223,29 @@ def test_quality_edges(make_docs, edge_rows, empty):
         assert Counter((r[0], tuple(r)[2:7]) for r in rows) == Counter((i, brute.base_quality(t)) for i, t in edge_rows)  # rows have no order
 
 
+def test_quality_of_languages_without_a_list(spark):
+    """A minority script beside junk of another language: each language is held against its own documents."""
+    r = random.Random(6)
+
+    def text(letters, n=120):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(n)) + "."
+
+    rows = [(i, text("aeioulnrstcdpm"), "it", "s", 1) for i in range(80)]
+    rows += [(100 + i, text("аеиоулнрстквдпм"), "ru", "s", 1) for i in range(20)]
+    rows += [(200 + i, text("0123456789#$%&*|<>"), "it", "s", 1) for i in range(50)]
+    rows += [(300 + i, text("аеиоулнрстквдпм"), None, "s", 1) for i in range(9)]
+    kept = {x[0] for x in judge(spark.createDataFrame(rows, DOC_SCHEMA)).where("q.kept").select("row.doc_id").collect()}
+    assert kept == {i for i, *_ in rows if not 200 <= i < 300}
+
+
+def test_quality_without_any_near_document(spark):
+    """Half the rows are of one kind, half of another: no document is near the medians, so all are rejected, not kept."""
+    rows = [(i, " ".join(("1" if i % 2 else "#") * (3 + k) for k in range(60 + i)), "xx", "s", 1) for i in range(10)]
+    got = judge(spark.createDataFrame(rows, DOC_SCHEMA)).select("q.*").collect()
+    assert not any(x.base_failed for x in got) and not any(x.kept for x in got)
+    assert all(0.28 < x.char_distance <= 1 for x in got)
+
+
 # -- decontamination ----------------------------------------------------------------------
 
 def test_leaks_whole_table(spark, table, pairs):
