@@ -10,12 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crashlens.schema import HARDWARE_SCHEMA
 
 
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with every number read as text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    return T.StringType()
+
+
+def _typed(col: Column, kind: T.DataType) -> Column:
+    """Text leaves cast to ``kind``; text that is no number becomes NULL, a missing object stays NULL."""
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_typed(col[f.name], f.dataType).alias(f.name) for f in kind]))
+    return col if isinstance(kind, T.StringType) else col.try_cast(kind)
+
+
 def parse_hardware(col: Column) -> Column:
-    return F.from_json(col, HARDWARE_SCHEMA)
+    """``HARDWARE_SCHEMA`` of a JSON text; a number may also have been sent as text (``"cores": "8"``)."""
+    return _typed(F.from_json(col, _as_text(HARDWARE_SCHEMA)), HARDWARE_SCHEMA)
 
 
 def with_hardware(df: DataFrame, source: str = "hardware_specs",

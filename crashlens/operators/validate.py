@@ -70,10 +70,12 @@ def truthy(f: str) -> Column:
 
 
 def parsed_crash_time(f: str = "crash_timestamp") -> Column:
-    """Crash time as a UTC instant at millisecond precision (text: ISO-8601
-    parse; number: epoch milliseconds), NULL when it does not parse."""
+    """Crash time as a UTC instant at millisecond precision (text: ISO-8601, or
+    ``Tue, 02 Jan 2024 10:00:00 GMT`` with or without the weekday; number: epoch milliseconds), NULL when it does not parse."""
     t, v = _t(f), _v(f)
-    text = F.when(v.rlike(r"^\s*\d{4}"), F.try_to_timestamp(v))  # a time of day alone has no date
+    bare = F.regexp_replace(v, r"^\s*[A-Za-z]{3,9},?\s+(?=\d)", "")
+    named = F.when(bare.rlike(r"^\s*\d{1,2} [A-Za-z]{3} \d{4} "), F.try_to_timestamp(F.trim(bare), F.lit("d MMM yyyy HH:mm:ss z")))
+    text = F.when(v.rlike(r"^\s*\d{4}"), F.try_to_timestamp(v)).otherwise(named)  # a time of day alone has no date
     millis = F.timestamp_millis(F.floor(v.cast("double")).cast("bigint"))
     out = (F.when(t == "STRING", text)
             .when(t.startswith("DECIMAL") | t.isin(*NUMERIC), millis))

@@ -69,3 +69,24 @@ def test_late_unique_ids_pass_dedup(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
+
+
+def test_hardware_numbers_sent_as_text(spark):
+    from crashlens.functions.hardware import hw_bigint, hw_int, with_hardware
+
+    texts = ['{"cpu":{"cores":"8","name":"x"},"memory":{"total":"16000000000"}}', '{"cpu":{"cores":8.9},"memory":{"total":1.6e10}}',
+             '{"cpu":{"cores":"many"},"memory":{"total":true}}', "{}", None, "not json"]
+    df = with_hardware(spark.createDataFrame([(t,) for t in texts], "hardware_specs string"))
+    got = [tuple(r) for r in df.select(hw_int("cpu.cores"), hw_bigint("memory.total"), "hw.cpu.name", F.col("hw.gpu").isNull()).collect()]
+    assert got == [(8, 16_000_000_000, "x", True), (8, 16_000_000_000, None, True), *[(None, None, None, True)] * 4]
+
+
+def test_dates_in_the_form_of_headers(spark):
+    from crashlens.operators.validate import parse_body, parsed_crash_time
+
+    forms = {"Tue, 02 Jan 2024 10:00:00 GMT": True, "2 Jan 2024 10:00:00 UTC": True, "Tuesday, 02 Jan 2024 10:00:00 GMT": True,
+             "2024-01-02T10:00:00Z": True, "Tue, 02 Foo 2024 10:00:00 GMT": False, "Tue": False, "10:00:00": False}
+    rows = [(f'{{"crash_timestamp":"{f}"}}',) for f in forms]
+    df = parse_body(spark.createDataFrame(rows, "body string")).select("in_crash_timestamp", parsed_crash_time().alias("t"))
+    got = {r.in_crash_timestamp: r.t for r in df.collect()}
+    assert got == {f: dt.datetime(2024, 1, 2, 10) if ok else None for f, ok in forms.items()}
