@@ -112,5 +112,44 @@ SELECT p.doc_id, p.leaf, s.subroot, top.root, sha256(f.proof) AS proof_sha256, f
 FROM placed p JOIN climb_crown f ON f.rid = p.rid AND f.n = 1 JOIN named s ON s.lang IS NOT DISTINCT FROM p.lang, top
 """
 
+_WORDS = r"""
+w AS (
+    SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS n FROM w)"""
+
+NEAR_DUPLICATES = "WITH RECURSIVE" + _WORDS.format(
+    text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """,
+windows AS (
+    SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM p),
+sets AS (SELECT DISTINCT doc_id, s FROM windows WHERE i + 4 <= n OR (n < 5 AND i = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, origin) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT y, origin FROM reached JOIN ways ON x = doc_id WHERE origin < y),
+least AS (SELECT doc_id, min(origin) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l USING (doc_id)
+"""
+
+REPEATED_WINDOWS = "WITH" + _WORDS.format(text="coalesce(text, '')") + """,
+windows AS (
+    SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s FROM p),
+places AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place FROM windows WHERE i + 19 <= n),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM places WHERE place > 1),
+kept AS (
+    SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text FROM p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 ORACLE = {"op1_line_dedup": LINE_DEDUP, "op2_chat_format": CHAT_FORMAT, "op4_sharding": SHARDING,
-          "op13_merkle_manifest": MERKLE_MANIFEST}
+          "op8_minhash_dedup": NEAR_DUPLICATES, "op9_substring_dedup": REPEATED_WINDOWS, "op13_merkle_manifest": MERKLE_MANIFEST}
