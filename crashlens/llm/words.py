@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
+#: Bytes hashed at once; the table of powers is about as long.
+SEGMENT_BYTES = 1 << 16
 
 LONGS = T.ArrayType(T.LongType())
 
@@ -99,7 +101,7 @@ class Words:
         out = np.empty(len(self.start), np.uint64)
         lo, i = 0, 0
         while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.start, lo + SLICE_BYTES)))
+            j = max(i + 1, int(np.searchsorted(self.start, lo + SEGMENT_BYTES)))
             lo, hi = self.start[i], self.end[j - 1]
             seg = _VALUE[self.data[lo:hi]] * _power("up", hi - lo)[:hi - lo]
             total = np.zeros(len(seg) + 1, np.uint64)
