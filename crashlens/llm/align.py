@@ -15,7 +15,6 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -58,6 +57,7 @@ class ByteTokenizer:
 
         self.own = Tokenizer.from_str(file)
         self.own.encode_special_tokens = True
+        self.shown: list[str] = []
         spec = json.loads(file)
         shown = byte_characters()
         vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if all(c in shown for c in t)}
@@ -158,6 +158,9 @@ class Aligned:
 
     def __init__(self, texts: list[str | None], one: ByteTokenizer, two: PieceTokenizer):
         self.width = max(len(one.pieces), len(two.pieces))
+        if len(one.shown) != 3 * self.width:  # every id with each of the marks that may follow it, made once a worker
+            one.shown = [f"{i}{c}" for c in ",|;" for i in range(self.width)]
+        self.shown = one.shown
         a, b = self._tokens(texts, one, two)
         self.a, self.a_off = _flat(a)
         self.b, self.b_off = _flat(b)
@@ -209,7 +212,7 @@ class Aligned:
     def spelled(self) -> Iterator[str]:
         """Per document its groups as ``a1,a2|b1;a3|b2,b3``."""
         width = self.width
-        shown = _shown_ids(width)
+        shown = self.shown
         # an A token moves behind the B tokens of earlier groups, a B token behind the A tokens up to its group's
         m, n = np.diff(self.ga), np.diff(self.gb)
         code = np.empty(len(self.a) + len(self.b), np.int64)
@@ -222,12 +225,6 @@ class Aligned:
             yield "".join(map(shown.__getitem__, code[lo:hi]))[:-1]
 
 
-@lru_cache(maxsize=2)
-def _shown_ids(width: int) -> list[str]:
-    """Every id below ``width`` with each of the marks that may follow it."""
-    return [f"{i}{c}" for c in ",|;" for i in range(width)]
-
-
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
     return np.fromiter(chain.from_iterable(lists), np.int64, off[-1]), off

@@ -98,12 +98,13 @@ class Automaton:
 
 def counter(spark: SparkSession, pieces: list[tuple[int, ...]]):
     """UDF text -> (words, tokens).  The automaton, bounded by the vocabulary, is broadcast."""
-    shared = spark.sparkContext.broadcast(Automaton(pieces))
+    shared = spark.sparkContext.broadcast(vars(Automaton(pieces)))  # plain data: workers need not know the class
     cache: dict[int, int] = {}
 
     @F.arrow_udf(record(n_words=T.LongType(), n_tokens=T.LongType()))
     def count(texts: pa.Array) -> pa.Array:
-        automaton, parts = shared.value, []
+        automaton, parts = Automaton.__new__(Automaton), []
+        vars(automaton).update(shared.value)
         for lo, hi in slices(texts):
             w = Words(texts.slice(lo, hi - lo), lower=True)
             data = w.data.tobytes()
