@@ -8,9 +8,12 @@ with a similarity of 0.75 miss all keys with probability 3e-8.
 
 Buckets with the same members count as one.  Pairs in a bucket are never all listed: in
 each round a node is compared with one hub of another component, the one that it meets in
-most buckets, and what is linked becomes one component; then only members outside a
-bucket's largest component are compared with the others, in blocks of bounded size that
-return links alone.  Every comparison is one of the full shingle sets.
+most buckets, and what is linked becomes one component.  Then only members outside a
+bucket's largest component are compared with the others, first by signature: nodes of different
+components within ``DISTANCE`` differing minima, and with sizes that allow the similarity, form
+groups.  A pair counts in the first of its buckets alone, which both signatures tell, so that
+few groups hold a node; their full sets are compared in blocks of bounded size that return links
+alone.  Every link is one of full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,6 +33,13 @@ from crashlens.llm.words import LONGS, Words, lists, longs, mix, record, slices
 SHINGLE = 5
 CHUNKS = 13
 LANES, LANE_BITS, VALUE_BITS = 4, 15, 14
+#: Signatures of a pair within this many differing minima are compared in full.  A similarity of
+#: 0.75 leaves more than 29 of 52 differing with a probability of 5e-7, a higher one less often.
+DISTANCE = 29
+#: Signatures of a block; a bucket of fewer nodes is one cell.
+SIGNATURES = 1 << 14
+#: Rows of a cell compared with all its columns at a time.
+STRIP = 64
 #: Shingles of a block of sets, each set counted with ``EXTRA`` more, so that a block has
 #: 1,024 short sets at most on average.
 BLOCK, EXTRA = 1 << 18, 256
@@ -138,16 +148,24 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, weight, node, n): members of all buckets of two or more nodes.
+    """(key, node, weight): members of all buckets of two or more nodes.
 
-    Of buckets with the same members one is kept; ``weight`` is their number.
+    Of buckets with the same members one is kept; ``weight`` is their number.  Digests of members
+    are taken after the buckets of one node are gone, so that what is shuffled for each key is a count.
     """
-    keys = nodes.select(F.explode(index_keys("sig")).alias("key"), "node", "n")
-    shared = keys.groupBy("key").agg(
+    keys = nodes.select(F.explode(index_keys("sig")).alias("key"), "node")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = scratch.save(keys.join(shared, "key"), "met")
+    return scratch.save(once(met), "members")
+
+
+def once(members: DataFrame) -> DataFrame:
+    """``members`` of one of all buckets with the same nodes, with the number of these as ``weight``."""
+    shape = members.groupBy("key").agg(
         F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("c > 1")
-    kept = shared.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    return scratch.save(keys.join(kept.select("key", "weight"), "key"), "members")
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    kept = shape.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    return members.join(kept.select("key", "weight"), "key")
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -177,18 +195,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b")
 
 
-def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of members outside their bucket's largest component with members of other components.
+def dealt(members: DataFrame, weight: Column, block: int) -> DataFrame:
+    """(key, i, j, role, node, comp): places of the members of buckets with several components.
 
-    The outsiders and all members of a bucket are dealt into blocks by a hash; each block of
-    outsiders meets each block of members in one cell, a bounded piece of work.
+    The outsiders (members outside their bucket's largest component) and all members of a bucket
+    are dealt by a hash into blocks of about ``block`` by ``weight``; each block of outsiders meets
+    each block of members in one cell, a bounded piece of work.
     """
-    weight = F.sum(F.col("n") + EXTRA)
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), weight.alias("w"))
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
     main = parts.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("main"), F.sum("w").alias("w"),
                                     F.count("*").alias("parts")).where("parts > 1")
-    shape = main.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / BLOCK).alias("rows"),
-                        F.ceil(F.col("w") / BLOCK).alias("columns"))
+    shape = main.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / block).alias("rows"),
+                        F.ceil(F.col("w") / block).alias("columns"))
     i, j = F.pmod(F.xxhash64("node"), F.col("rows")), F.pmod(F.xxhash64("node"), F.col("columns"))
     as_row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1),
                          lambda k: F.struct(i.alias("i"), k.alias("j"), F.when(k == j, ROW + COLUMN).otherwise(ROW).alias("role")))
@@ -196,14 +214,35 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                             lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(COLUMN).alias("role")))
     elsewhere = F.filter(as_column, lambda place: place["i"] != i)  # its own cell has it as a row already
     places = F.when(F.col("comp") != F.col("main"), F.concat(as_row, elsewhere)).otherwise(as_column)
-    cells = (members.join(shape, "key").select("key", "node", "comp", F.explode(places).alias("place"))
-             .select("key", "place.*", "node", "comp").join(sets, "node"))
-    return (cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_cells, "a long, b long"))
+    return (members.join(shape, "key").select("key", "node", "comp", F.explode(places).alias("place"))
+            .select("key", "place.*", "node", "comp"))
+
+
+def in_cells(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def near_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, comp, n): groups of a bucket's nodes that signatures do not tell apart, as new keys.
 
+    Within a cell, outsiders and members of other components that lie within ``DISTANCE`` are joined
+    into groups; a node near none of another component is in none.  At most one row a place.
+    A pair's first bucket (the least key that both have) is among ``members``: of buckets with
+    the same members the least key was kept.
+    """
+    cells = dealt(members, F.lit(1), SIGNATURES).join(nodes.select("node", "n", "sig"), "node")
+    found = in_cells(cells).mapInArrow(_near, "key long, i long, j long, least long, node long, comp long, n long")
+    return found.select(F.xxhash64("key", "i", "j", "least").alias("key"), "node", "comp", "n")
+
+
+def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of members outside their group's largest component with members of other components."""
+    cells = dealt(groups, F.col("n") + EXTRA, BLOCK).join(sets, "node")
+    return in_cells(cells).mapInArrow(_linked, "a long, b long")
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of each run of rows with equal (key, i, j)."""
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each run with equal (key, i, j)."""
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
     for batch in batches:
@@ -213,17 +252,74 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lo == hi:
                 continue
             if held and last != tuple(cell[lo]):
-                yield from _cell_links(held)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             last = tuple(cell[lo])
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield from _cell_links(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell in _cells(batches):
+        yield from _cell_groups(cell)
 
 
-def _cell_links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell in _cells(batches):
+        yield from _cell_links(cell)
+
+
+def _find(root: dict[int, int], x: int) -> int:
+    while (up := root.get(x, x)) != x:
+        root[x] = root.get(up, up)
+        x = up
+    return x
+
+
+def _cell_groups(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Groups of a cell's rows and columns of other components within ``DISTANCE``."""
+    role = cell["role"].to_numpy()
+    a, b = np.flatnonzero(role & ROW), np.flatnonzero(role & COLUMN)
+    if not len(a) or not len(b):
+        return
+    comp, size = cell["comp"].to_numpy(), cell["n"].to_numpy()
+    chunk = cell["sig"].chunk(0).flatten().to_numpy().reshape(-1, CHUNKS)
+    minima = np.stack([(chunk >> LANE_BITS * k) & ((1 << VALUE_BITS) - 1) for k in range(LANES)], 2).astype(np.uint16)
+    right = np.ascontiguousarray(minima[b].transpose(1, 2, 0))
+    own, out = divmod(cell["key"][0].as_py() >> LANE_BITS * (LANES - 1), LANES)  # chunk and place left out
+    root: dict[int, int] = {}
+    label, met = np.arange(len(role)), np.zeros(len(role), bool)
+    for lo in range(0, len(a), STRIP):
+        rows = a[lo:lo + STRIP]
+        equal, first = np.zeros((len(rows), len(b)), np.uint8), np.ones((len(rows), len(b)), bool)
+        for c in range(CHUNKS):
+            alike = sum((minima[rows, c, k][:, None] == right[c, k]).view(np.uint8) for k in range(LANES))
+            equal += alike
+            if c < own or c == own and out:
+                first &= alike < LANES - (c < own)
+        small = np.minimum(size[rows][:, None], size[b])
+        large = np.maximum(size[rows][:, None], size[b])
+        near = (first & (equal >= CHUNKS * LANES - DISTANCE) & (100 * small >= 75 * large)
+                & (comp[rows][:, None] != comp[b]))
+        for x, hit in zip(rows[near.any(axis=1)], near[near.any(axis=1)]):
+            met[x] = True
+            met[b[hit]] = True
+            for other in np.unique(label[b[hit]]):
+                p, q = _find(root, int(x)), _find(root, int(other))
+                root[max(p, q)] = min(p, q)
+        label = np.array([_find(root, x) for x in range(len(role))])
+    at = np.flatnonzero(met)
+    if len(at):
+        places = [pa.array(cell[c].to_numpy()[at].astype(np.int64)) for c in ("key", "i", "j")]
+        node = cell["node"].to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [*places, *(pa.array(x) for x in (node[label[at]], node[at], comp[at], size[at]))],
+            ["key", "i", "j", "least", "node", "comp", "n"])
+
+
+def _cell_links(cell: pa.Table) -> Iterator[pa.RecordBatch]:
     """Links of a cell, without those that close a circle."""
-    cell = pa.Table.from_batches(rows).combine_chunks()
     role = cell["role"].to_numpy()
     a, b = np.flatnonzero(role & ROW), np.flatnonzero(role & COLUMN)
     if not len(a) or not len(b):
@@ -249,16 +345,9 @@ def _cell_links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared += holds[a] @ holds[b].T
     linked = (100 * shared >= 75 * (size[a][:, None] + size[b] - shared)) & (comp[a][:, None] != comp[b])
     root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
     kept = []
     for x, y in zip(*np.nonzero(linked)):
-        p, q = find(int(comp[a[x]])), find(int(comp[b[y]]))
+        p, q = _find(root, int(comp[a[x]])), _find(root, int(comp[b[y]]))
         if p != q:
             root[p] = q
             kept.append((node[a[x]], node[b[y]]))
@@ -287,7 +376,11 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, rounds: int, scratch: Scratc
     while True:
         hubs = hubs and step < rounds
         here = labelled(members, labels)
-        made = confirmed(hub_pairs(here, step), sets) if hubs else block_links(here, sets)
+        if hubs:
+            made = confirmed(hub_pairs(here, step), sets)
+        else:
+            groups = scratch.save(near_groups(here, nodes), "near")
+            made = block_links(groups, sets)
         made = scratch.save(made, f"links-{step}")
         found = made.count()
         if found:
