@@ -1,10 +1,15 @@
-"""X6 as keyed state with a lifetime: one state row per (client, minute).
+"""X6 as keyed state with a lifetime: a count per (client, minute), kept in state rows of many such keys.
 
-Every task first keeps, per client and minute, the ``limit`` earliest requests of its own partition: a later
-one is limited whatever other tasks hold.  Such a request goes on under a salted key and needs no state,
-so that at most ``limit`` requests per task and minute meet under one (client, minute) key, however hot the
-client.  That key's state is the number of requests admitted so far, and it expires on its own
-a ``lifetime`` after its last change.  No watermark is used: late requests are decided like any other.
+Every task first keeps, per client and minute, the ``limit`` earliest requests of each ``POOL_ROWS`` rows of its own
+partition: a later one is limited whatever other tasks hold.  Such a request goes on under a salted key and needs no
+state, so that at most ``limit`` requests per task, minute and ``POOL_ROWS`` rows meet under one (client, minute),
+however hot the client.
+
+Most clients and minutes have a request or two, so one state row (and one call into Python) for each of them costs far
+more than its decision.  A state row therefore holds the counts of all clients of one hash bucket in one window
+of minutes: ``BUCKETS`` tasks at most share a window, and a batch touches the rows of its own windows only.  Each count
+has its own end of life, a ``lifetime`` after its last change; the row expires with its last count.  No watermark is
+used: late requests are decided like any other.
 
 Needs the RocksDB state store (``use_rocksdb``).
 """
@@ -18,8 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from crashlens.schema import RATE_LIMIT_PER_MINUTE
 
@@ -31,6 +37,10 @@ _KEYED_SCHEMA = ("request_id string, body string, signature string, client_ip st
 _MINUTE_US = 60_000_000
 #: Keys over which requests that are limited already are spread.
 SALTS = 1024
+#: Rows that a task ranks at once.
+POOL_ROWS = 50_000
+#: A state row's keys: clients of one of ``BUCKETS`` hash buckets in one window of ``WINDOW_MINUTES``.
+BUCKETS, WINDOW_MINUTES = 64, 240
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,6 +59,11 @@ def _micros(at: pd.Series) -> np.ndarray:
     return np.where(known, out, _MINUTE_US - 1)
 
 
+def _keyed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the client and minute that they count for."""
+    return rows.assign(_key=rows["client_ip"].fillna("unknown"), _minute=_micros(rows["arrived_at"]) // _MINUTE_US)
+
+
 def _sorted_ranks(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Order by (client, minute, time, id) and each ordered row's place in its client and minute."""
     at = _micros(rows["arrived_at"])
@@ -67,51 +82,80 @@ def partial_top(limit: int):
         spread = np.arange(len(rows)) % SALTS + 1
         return rows.assign(_salt=spread.astype(np.int32))
 
+    def ranked(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = pd.concat(parts, ignore_index=True)
+        order, rank = _sorted_ranks(pool)
+        over = pool.iloc[order[rank >= limit]]
+        if len(over):
+            yield salted(over)
+        yield pool.iloc[order[rank < limit]].assign(_salt=np.int32(0))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        held, size = [], 0
         for rows in batches:
-            rows = rows.assign(_key=rows["client_ip"].fillna("unknown"))
-            rows["_minute"] = _micros(rows["arrived_at"]) // _MINUTE_US
-            pool = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
-            order, rank = _sorted_ranks(pool)
-            over = pool.iloc[order[rank >= limit]]
-            kept = pool.iloc[order[rank < limit]]
-            if len(over):
-                yield salted(over)
-        if kept is not None and len(kept):
-            yield kept.assign(_salt=np.int32(0))
+            if not len(rows):
+                continue
+            held.append(_keyed(rows))
+            size += len(rows)
+            if size >= POOL_ROWS:
+                yield from ranked(held)
+                held, size = [], 0
+        if held:
+            yield from ranked(held)
     return run
 
 
+_STATE = StructType([StructField("clients", ArrayType(StringType())), *(
+    StructField(name, ArrayType(LongType())) for name in ("minutes", "admitted", "until"))])
+
+
 class MinuteQuota(StatefulProcessor):
-    """Admits the earliest requests of a (client, minute) while places are left."""
+    """Admits the earliest requests of each (client, minute) of a bucket while places are left."""
 
     def __init__(self, limit: int, lifetime_ms: int):
         self.limit, self.lifetime_ms = limit, lifetime_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("admitted", LongType())])
-        self.admitted = handle.getValueState("admitted", schema, self.lifetime_ms)
+        self.counts = handle.getValueState("counts", _STATE, self.lifetime_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[2]:  # decided by the task that read them
+        if key[1]:  # decided by the task that read them
             for part in rows:
                 yield self._emit(part, np.ones(len(part), bool))
             return
-        used = self.admitted.get()[0] if self.admitted.exists() else 0
-        kept = None
-        for part in rows:  # at most ``limit`` rows a task; only those that may pass are kept
-            part = part.assign(_key=key[0])  # key columns are not among a group's columns
-            pool = part if kept is None else pd.concat([kept, part], ignore_index=True)
-            order, _ = _sorted_ranks(pool)
-            left = max(0, self.limit - used)
-            if len(order) > left:
-                yield self._emit(pool.iloc[order[left:]], np.ones(len(order) - left, bool))
-            kept = pool.iloc[order[:left]]
-        if kept is not None and len(kept):
-            self.admitted.update((used + len(kept),))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        stored = self.counts.get() if self.counts.exists() else ([], [], [], [])
+        known = {(c, m): (n, until) for c, m, n, until in zip(*stored, strict=True) if until > now}
+        held, size, most = [], 0, POOL_ROWS
+        for part in rows:  # only those that may pass are kept
+            held.append(_keyed(part))  # a group's rows lose column names that begin with "_"
+            size += len(part)
+            if size >= most:
+                kept, over = self._sifted(held, known)
+                if len(over):
+                    yield self._emit(over, np.ones(len(over), bool))
+                held, size = [kept], len(kept)
+                most = max(POOL_ROWS, 2 * size)
+        kept, over = self._sifted(held, known)
+        if len(over):
+            yield self._emit(over, np.ones(len(over), bool))
+        if len(kept):
+            for at, n in kept.groupby(["_key", "_minute"], sort=False).size().items():
+                known[at] = known.get(at, (0, 0))[0] + n, now + self.lifetime_ms
+            self.counts.update(tuple(map(list, zip(*((c, int(m), int(n), until) for (c, m), (n, until) in known.items()), strict=True))))
             yield self._emit(kept, np.zeros(len(kept), bool))
 
+    def _sifted(self, parts: list[pd.DataFrame], known: dict) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Rows that find a place among these and the ``known`` counts, and the others."""
+        pool = pd.concat(parts, ignore_index=True)
+        order, rank = _sorted_ranks(pool)
+        left = np.full(len(order), self.limit)
+        if known:
+            begin = np.flatnonzero(rank == 0)
+            keys = zip(pool["_key"].to_numpy()[order[begin]], pool["_minute"].to_numpy()[order[begin]].tolist(), strict=True)
+            left = np.repeat([max(0, self.limit - known.get(at, (0, 0))[0]) for at in keys], np.diff(np.append(begin, len(order))))
+        return pool.iloc[order[rank < left]], pool.iloc[order[rank >= left]]
+
     def close(self) -> None:
         pass
 
@@ -137,8 +181,11 @@ def rate_limit_minutes(stream: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE, li
     comes later for that minute finds all places free.  Choose it above the greatest delay of requests.
     """
     keyed = stream.select(*COLUMNS).mapInPandas(partial_top(limit), _KEYED_SCHEMA)
+    window = F.floor(F.col("_minute") / WINDOW_MINUTES).cast("long")
+    bucket = window * BUCKETS + F.pmod(F.xxhash64("_key"), F.lit(BUCKETS))
+    keyed = keyed.select(*COLUMNS, "_salt", F.when(F.col("_salt") == 0, bucket).otherwise(F.lit(0).cast("long")).alias("_bucket"))
     processor = MinuteQuota(limit, max(1, int(lifetime_minutes * 60_000)))
-    return keyed.groupBy("_key", "_minute", "_salt").transformWithStateInPandas(
+    return keyed.groupBy("_bucket", "_salt").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crashlens.operators import rate_limit
 from crashlens.schema import RAW_SCHEMA
 from crashlens.streaming import rate_limit_minutes, use_rocksdb
-from crashlens.streaming.minute_limiter import partial_top
+from crashlens.streaming.minute_limiter import BUCKETS, POOL_ROWS, partial_top
 
 T0 = dt.datetime(2024, 1, 1, 12)
 NAMES = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.shuffle.partitions")
@@ -78,3 +78,34 @@ def test_a_task_sends_at_most_its_first_requests_on():
     kept = out[out._salt == 0]
     assert kept.groupby("_minute").size().tolist() == [7, 7]
     assert out[out._salt > 0].groupby(["_minute", "_salt"]).size().max() <= 60
+
+
+def test_many_clients_and_minutes_share_a_state_row(spark, store, tmp_path):
+    """A state row holds a bucket of clients and minutes; each of them still has its own places."""
+    first = [(f"a{c}-{m}-{i}", "{}", None, f"c{c}", T0 + dt.timedelta(minutes=m, seconds=i)) for c in range(100) for m in range(3) for i in range(2)]
+    second = [(f"b{c}-{m}-{i}", "{}", None, f"c{c}", T0 + dt.timedelta(minutes=m, seconds=9 + i)) for c in range(100) for m in range(4) for i in range(2)]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (first, second):
+        put(spark, folder, part)
+    states = run(spark, folder, out, limit=3)
+    got = spark.read.parquet(f"{out}/rows")
+    assert got.count() == len(first + second)
+    limited = {r.request_id for r in got.where("rate_limited").collect()}
+    assert limited == {f"b{c}-{m}-1" for c in range(100) for m in range(3)}
+    assert max(states) <= BUCKETS  # for 400 clients and minutes
+
+
+def test_a_task_ranks_a_bounded_number_of_rows_at_once():
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for i in range(0, 3 * POOL_ROWS, 10_000):
+            taken += 10_000
+            yield pd.DataFrame({"request_id": [f"r{k}" for k in range(i, i + 10_000)], "body": "b", "signature": None,
+                                "client_ip": "c", "arrived_at": [T0] * 10_000})
+
+    parts = partial_top(7)(batches())
+    next(parts)
+    assert taken <= POOL_ROWS + 10_000
+    list(parts)
