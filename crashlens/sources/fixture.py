@@ -28,6 +28,8 @@ LAST_DAY = "2024-01-30 00:00:00"
 BURST_AT = "2024-01-30 22:00:00"
 # Shared secret the fixture's raw envelopes are signed with.
 FIXTURE_SECRET = "fixture-hmac-secret"
+# Events of the whole table for each file of a date.
+EVENTS_PER_FILE = 2_000_000
 # Whether the analytics' fixture table spreads an under-split events file.
 SPREAD_ANALYTICS = True
 
@@ -159,7 +161,7 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build,
-                 partition_by: str | None = None, files_per_value: int | None = 2, fmt: str = "parquet") -> str:
+                 partition_by: str | None = None, files_per_value=2, fmt: str = "parquet") -> str:
     """Path of a table derived from the driver tables, written once.
 
     The folder lives under the session's shared ``spark.checkpoint.dir``
@@ -167,6 +169,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
     reused while the source is unchanged.  It is written to a staging
     folder and renamed into place, so concurrent writers never expose a
     partial table; a written table also cuts the lineage of what reads it.
+    ``files_per_value`` may be a function, called only when the table is written.
     """
     from crashlens.session import by_partition, checkpoint_dir
 
@@ -181,7 +184,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build,
         staging = f"{path}.staging-{uuid.uuid4().hex}"
         rows = build()
         if partition_by:
-            rows = by_partition(rows, partition_by, files_per_value)
+            rows = by_partition(rows, partition_by, files_per_value() if callable(files_per_value) else files_per_value)
         writer = rows.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
@@ -220,10 +223,15 @@ def crash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TABLES[key]
 
 
+def files_per_date(events: int) -> int:
+    """Writer tasks a date, more for a longer table, so that none of them has to read more rows for it."""
+    return max(2, events // EVENTS_PER_FILE)
+
+
 def crash_table_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the stored fact table (written on first use)."""
-    return materialized(spark, sf_dir, "facts",
-                        lambda: derived_crash_table(spark, sf_dir), "created_date")
+    return materialized(spark, sf_dir, "facts", lambda: derived_crash_table(spark, sf_dir), "created_date",
+                        lambda: files_per_date(read_events(spark, sf_dir, spread_rows=False).count()))
 
 
 def landing_zone(spark: SparkSession, sf_dir: str,

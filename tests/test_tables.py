@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from crashlens import plans as P
+from crashlens.catalog_tables import _exact_rollup
 from crashlens.operators import hourly_rollup
 from crashlens.operators.error_sketch import map_size, read_error_sketches, top_errors_from_sketches, update_error_sketches
 from crashlens.operators.moments import hour_moments, spikes_by_hour, trailing_baseline
+from crashlens.sources.fixture import files_per_date
 from crashlens.streaming.late import (
     batch_cells, exact_rollup_parts, hourly_alerts, read_exact_rollup, start_exact_rollup, users_by,
 )
@@ -138,3 +140,22 @@ def test_sketches_merge_to_coarser_grains(spark, tmp_path):
     got = users_by(read_exact_rollup(spark, root), "app_name")
     want = facts.groupBy("app_name").agg(F.count_distinct("ip_hash").alias("users_estimate"), F.count(F.lit(1)).alias("crashes"))
     assert rows(got) == rows(want)
+
+
+def test_stream_parts_are_not_landed_by_one_task(spark, tmp_path):
+    """Four micro-batches, each of the files that several tasks wrote."""
+    events = spark.range(0, 6000, 1, 4).select(
+        F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id") * 7)).alias("ts"),
+        (F.col("id") % 90).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    root = _exact_rollup(spark, str(tmp_path), "late")
+    landed = [x for x in os.listdir(f"{root}/landing") if x.endswith(".parquet")]
+    assert len(landed) > 4
+    assert sorted(x for x in os.listdir(f"{root}/marks") if x.startswith("batch_id")) == [f"batch_id={i}" for i in range(4)]
+    late = exact_rollup_parts(spark, root)["late"].agg(F.sum("crash_count")).first()[0]
+    assert late == events.where("ts < '2024-01-08'").count()
+    assert read_exact_rollup(spark, root).agg(F.sum("crash_count")).first()[0] == 6000
+
+
+def test_longer_tables_have_more_writers_a_date():
+    assert [files_per_date(n) for n in (0, 100_000, 6_000_000, 36_000_000)] == [2, 2, 3, 18]
