@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+#: Text that a task works on at once; its arrays take some tens of times as much, in each Python worker.
+SLICE_BYTES = 1 << 19
 #: Bytes hashed at once; the table of powers is about as long.
 SEGMENT_BYTES = 1 << 16
 
