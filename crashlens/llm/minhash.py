@@ -11,9 +11,10 @@ each round a node is compared with one hub of another component, the one that it
 most buckets, and what is linked becomes one component.  Then only members outside a
 bucket's largest component are compared with the others, first by signature: nodes of different
 components within ``DISTANCE`` differing minima, and with sizes that allow the similarity, form
-groups.  A pair counts in the first of its buckets alone, which both signatures tell, so that
-few groups hold a node; their full sets are compared in blocks of bounded size that return links
-alone.  Every link is one of full shingle sets.
+groups.  Buckets with the same largest component meet as one, each node once, wherever that compares
+no more pairs; in the others a pair counts in the first of its buckets alone, which both signatures
+tell.  So few groups hold a node; their full sets are compared in blocks of bounded size that return
+links alone.  Every link is one of full shingle sets.
 """
 
 from __future__ import annotations
@@ -195,6 +196,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b")
 
 
+def gathered(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, comp): members of buckets with several components, few buckets for a node.
+
+    A large component is the largest one of hundreds of buckets, which hold much the same nodes.  Buckets
+    with the same largest component become one, with each of their nodes once and ``~component``, which
+    is below 0, as key, if (outsiders) x (members) is then no more than the sum of this over the buckets.
+    All pairs of a bucket are among those of the one that it becomes part of.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"),
+                                     F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("key", F.col("main.comp").alias("main"), "c")
+    met = scratch.save(members.join(mixed, "key").select("key", "main", "c", "node", "comp"), "mixed")
+    outside = F.col("comp") != F.col("main")
+    once_each = met.groupBy("main", "node", "comp").agg(F.sum("c").alias("c"))
+    one = once_each.groupBy("main").agg(F.count("*").alias("all"), F.count_if(outside).alias("out"),
+                                        F.sum(F.when(outside, F.col("c"))).alias("apart"))
+    one = scratch.save(one.where(F.col("out") * F.col("all") <= F.col("apart")).select("main", F.lit(True).alias("one")), "one")
+    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
+    key = F.when(F.col("one"), F.bitwise_not("main")).otherwise(F.col("key"))
+    return met.join(one, "main", "left").select(key.alias("key"), "node", "comp").distinct()
+
+
 def dealt(members: DataFrame, weight: Column, block: int) -> DataFrame:
     """(key, i, j, role, node, comp): places of the members of buckets with several components.
 
@@ -222,15 +246,16 @@ def in_cells(cells: DataFrame) -> DataFrame:
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def near_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def near_groups(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, node, comp, n): groups of a bucket's nodes that signatures do not tell apart, as new keys.
 
     Within a cell, outsiders and members of other components that lie within ``DISTANCE`` are joined
     into groups; a node near none of another component is in none.  At most one row a place.
     A pair's first bucket (the least key that both have) is among ``members``: of buckets with
-    the same members the least key was kept.
+    the same members the least key was kept.  If it became part of another, the pair counts there.
     """
-    cells = dealt(members, F.lit(1), SIGNATURES).join(nodes.select("node", "n", "sig"), "node")
+    places = scratch.save(gathered(members, scratch), "gathered")
+    cells = dealt(places, F.lit(1), SIGNATURES).join(nodes.select("node", "n", "sig"), "node")
     found = in_cells(cells).mapInArrow(_near, "key long, i long, j long, least long, node long, comp long, n long")
     return found.select(F.xxhash64("key", "i", "j", "least").alias("key"), "node", "comp", "n")
 
@@ -287,7 +312,9 @@ def _cell_groups(cell: pa.Table) -> Iterator[pa.RecordBatch]:
     chunk = cell["sig"].chunk(0).flatten().to_numpy().reshape(-1, CHUNKS)
     minima = np.stack([(chunk >> LANE_BITS * k) & ((1 << VALUE_BITS) - 1) for k in range(LANES)], 2).astype(np.uint16)
     right = np.ascontiguousarray(minima[b].transpose(1, 2, 0))
-    own, out = divmod(cell["key"][0].as_py() >> LANE_BITS * (LANES - 1), LANES)  # chunk and place left out
+    key = cell["key"][0].as_py()
+    # chunk and place left out; below 0 are buckets of one component, where every pair counts
+    own, out = divmod(key >> LANE_BITS * (LANES - 1), LANES) if key >= 0 else (0, 0)
     root: dict[int, int] = {}
     label, met = np.arange(len(role)), np.zeros(len(role), bool)
     for lo in range(0, len(a), STRIP):
@@ -379,7 +406,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, rounds: int, scratch: Scratc
         if hubs:
             made = confirmed(hub_pairs(here, step), sets)
         else:
-            groups = scratch.save(near_groups(here, nodes), "near")
+            groups = scratch.save(near_groups(here, nodes, scratch), "near")
             made = block_links(groups, sets)
         made = scratch.save(made, f"links-{step}")
         found = made.count()
