@@ -18,7 +18,10 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
 def reports(spark):
+    """Cached for one module: a cached table takes the place of the scan in the plans of other modules."""
     from crashlens.sources.fixture import crash_table
-    return crash_table(spark, SF_SMALL).cache()
+    cached = crash_table(spark, SF_SMALL).cache()
+    yield cached
+    cached.unpersist()
